@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from waybridge import vocab
+from waybridge.functions.replies import strict_json
 
 
 def _label(value: Column, labels: dict[str, str]) -> Column:
@@ -89,4 +90,4 @@ def stage_track(status: Column) -> Column:
 
 def decoded_value(text: Column) -> Column:
     """The JSON value written in a text, or the text itself as a JSON string."""
-    return F.coalesce(F.try_parse_json(text), text.cast("variant"))
+    return F.coalesce(strict_json(text), text.cast("variant"))

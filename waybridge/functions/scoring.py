@@ -47,6 +47,11 @@ def rounded_mean(total_thousandths: Column, weight: Column) -> Column:
     return (half_up / 1000).cast(CONF)
 
 
+def rounded_ratio(part: Column, whole: Column, steps: int) -> Column:
+    """``part / whole`` rounded half up to multiples of ``1 / steps``; both are whole numbers."""
+    return F.call_function("div", part * (2 * steps) + whole, whole * 2) / float(steps)
+
+
 def is_required(doc_type: Column, field_name: Column) -> Column:
     """Whether a field is required for its document type."""
     hits = [

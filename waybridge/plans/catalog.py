@@ -55,8 +55,6 @@ def plain(df: DataFrame) -> DataFrame:
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif kind == "date":
             c = F.date_format(c, "yyyy-MM-dd")
-        elif kind in ("int", "smallint", "tinyint"):
-            c = c.cast("bigint")
         out.append(c.alias(f.name))
     return df.select(*out)
 
@@ -472,7 +470,7 @@ def verified_confidence(spark, d):
 
 @query
 def mean_confidence(spark, d):
-    return extract.mean_confidence(fx.fields(spark, d))
+    return plain(extract.mean_confidence(fx.fields(spark, d)))
 
 
 # --- classification and extraction --------------------------------------------------
@@ -974,7 +972,7 @@ def daily_trend(spark, d):
 
 @query
 def documents_by_type(spark, d):
-    return reports.documents_by_type(fx.documents(spark, d))
+    return plain(reports.documents_by_type(fx.documents(spark, d)))
 
 
 @query

@@ -452,7 +452,7 @@ from (select *, confidence as base,
     case when checked then cast(case when usable then least(n % 13 / 10.0, 1.0) else 0.5 end as decimal(4,3)) end as certainty
   from (select *, document_id + length(field_name) as n, extraction_method in ('llm_text', 'llm_vision') as checked,
       (document_id + length(field_name)) % 6 <> 0 and (document_id + length(field_name)) % 5 <> 1 as usable from f_fields))""")
-add("mean_confidence", "select document_id, round(avg(cast(confidence as double)), 3) as mean_confidence, count(*) as fields from f_fields group by document_id")
+add("mean_confidence", "select document_id, ((2 * sum(cast(confidence * 1000 as bigint)) + count(*)) // (2 * count(*))) / 1000.0::double as mean_confidence, count(*) as fields from f_fields group by document_id")
 
 # --- classification and extraction --------------------------------------------------
 
@@ -522,8 +522,8 @@ part("f_pages", """
 select doc_id as job_id, unnest(range(1, len(lines) + 1)) as page_no, unnest(lines) as text
 from (select doc_id, string_split(text, chr(10)) as lines from documents)""")
 part("f_scan", r"""
-select job_id, count(*) as pages, sum(c) as chars, count(*) filter (where c <= 20) as pages_below_threshold,
-  round(sum(c) / count(*), 3) as avg_text_density, count(*) filter (where c <= 20) * 2 > count(*) as is_scanned,
+select job_id, count(*) as pages, sum(c)::bigint as chars, count(*) filter (where c <= 20) as pages_below_threshold,
+  ((2000 * sum(c) + count(*)) // (2 * count(*))) / 1000.0::double as avg_text_density, count(*) filter (where c <= 20) * 2 > count(*) as is_scanned,
   sum(c) > count(*) * 20 as is_born_digital
 from (select job_id, length(regexp_replace(text, '[\s\v\x{85}\x{A0}\p{Z}]+', '', 'g')) as c from f_pages) group by job_id""")
 add("scan_detect", "select * from f_scan")
@@ -570,7 +570,7 @@ select *, {_HEADER} as header_type from (
 add("header_type", "select job_id, page_no, header_type from f_header_pages")
 add("page_headers", r"""
 select doc_id, length(h) as chars, len(string_split(h, chr(10))) as lines from (
-  select doc_id, upper(array_to_string(list_slice(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10)), 1, 8), chr(10))) as h from documents)""")
+  select doc_id, upper(replace(array_to_string(list_slice(string_split(regexp_replace(text, '^[\s\v\x{85}\x{A0}\p{Z}]+|[\s\v\x{85}\x{A0}\p{Z}]+$', '', 'g'), chr(10)), 1, 8), chr(10)), 'ß', 'SS')) as h from documents)""")
 
 
 def _header_cut(opens: str) -> str:
@@ -593,7 +593,7 @@ select job_id, page_start, page_end, header_type, segments, case when segments >
         select *, coalesce(abs(avg_font_size - lag(avg_font_size) over w) > lag(avg_font_size) over w * 0.2::double
             or abs(top_margin - lag(top_margin) over w) > 50
             or abs(text_density - lag(text_density) over w) > lag(text_density) over w * 0.5::double, false) as brk
-        from f_header_pages window w as (partition by job_id order by page_no))) group by job_id, island)))""")
+        from f_header_pages window w as (partition by job_id order by page_no))) group by job_id, island))""")
 part("f_proposed", """
 select conv_id as job_id, page_start, page_end, doc_type, 0.7::double as confidence, 'llm' as method
 from conversations cross join (values (1, 2, 'bol'), (3, 4, 'unknown')) as v(page_start, page_end, doc_type)
@@ -747,7 +747,7 @@ from (select status, (epoch_us(completed_at) - epoch_us(created_at)) // 1000000
 add("daily_trend", """
 select strftime(day, '%Y-%m-%d') as day, sum(j)::bigint as jobs, sum(d)::bigint as documents from (
   select cast(created_at as date) as day, 1 as j, 0 as d from f_jobs union all select cast(created_at as date), 0, 1 from f_documents) group by day""")
-add("documents_by_type", "select doc_type, count(*) as documents, round(avg(cast(class_confidence as double)), 3) as avg_confidence from f_documents group by doc_type")
+add("documents_by_type", "select doc_type, count(*) as documents, ((2 * sum(cast(class_confidence * 1000 as bigint)) + count(*)) // (2 * count(*))) / 1000.0::double as avg_confidence from f_documents group by doc_type")
 add("review_rates", """
 select jobs, reviewed_jobs, round(reviewed_jobs::double / jobs, 4) as review_rate, round(corrected::double / reviews, 4) as correction_rate
 from (select (select count(*) from f_jobs) as jobs, count(distinct job_id) as reviewed_jobs, count(*) as reviews, count(*) filter (where resolution = 'corrected') as corrected from f_reviews)""")
@@ -820,7 +820,7 @@ add("merge_fields", """
 select coalesce(a.document_id, b.document_id) as document_id, coalesce(a.field_name, b.field_name) as field_name,
   case when b.document_id is not null then 'model' else a.field_value end as field_value,
   case when b.document_id is not null then 0.8::double else cast(a.confidence as double) end as confidence,
-  case when b.document_id is not null then 'llm_text' else 'rule' end as extraction_method
+  case when b.document_id is not null then 'llm_text' else a.extraction_method end as extraction_method
 from (select * from f_fields where confidence < 0.8) a full join (
   select document_id, field_name from f_fields where (document_id + length(field_name)) % 2 = 0 and (document_id + length(field_name)) % 3 <> 0) b
 on a.document_id = b.document_id and a.field_name = b.field_name""")
@@ -847,7 +847,7 @@ part("f_outcomes", """
 select doc_type, field_name, g is not null and fact is not null and g = fact as tp, g is not null and (fact is null or g <> fact) as fp, fact is not null and (g is null or g <> fact) as fn
 from (select doc_type, field_name, case when field_value <> '  ' then normal_value end as fact,
     case when n % 6 = 0 then null when n % 7 = 0 and (structured or field_name = 'weight') then null when n % 7 = 0 then 'wrong' else normal_value end as g
-  from (select *, document_id + length(field_name) as n, field_name in """ + _in([*vocab.MONEY_FIELDS, *vocab.DATE_FIELDS]) + """ as structured from f_normal))""")
+  from (select *, document_id + length(field_name) as n, field_name in """ + _in([*vocab.MONEY_FIELDS, *vocab.DATE_FIELDS, "accessorials", "line_items"]) + """ as structured from f_normal))""")
 add("field_f1", """
 select doc_type, field_name, tp, fp, fn, round(tp / nullif(tp + fp, 0)::double, 4) as precision, round(tp / nullif(tp + fn, 0)::double, 4) as recall,
   round(2 * tp / nullif(2 * tp + fp + fn, 0)::double, 4) as f1

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from waybridge import vocab
 from waybridge.functions.display import stage_track
+from waybridge.functions.scoring import rounded_mean, thousandths
 from waybridge.operators.hotkeys import lookup
 from waybridge.sources.store import all_of, equal_if
 
@@ -350,10 +351,13 @@ def daily_trend(jobs: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def documents_by_type(documents: DataFrame, confidences: DataFrame | None = None) -> DataFrame:
+def documents_by_type(documents: DataFrame) -> DataFrame:
+    """Documents and mean class confidence per type."""
     return documents.groupBy("doc_type").agg(
         F.count("*").alias("documents"),
-        F.round(F.avg(F.col("class_confidence").cast("double")), 3).alias("avg_confidence"),
+        rounded_mean(
+            F.sum(thousandths(F.col("class_confidence"))), F.count("class_confidence")
+        ).alias("avg_confidence"),
     )
 
 
