@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from waybridge import vocab
+from waybridge.functions.values import trimmed
 
 # Words a text must contain before a pattern can match.  A byte search is far
 # cheaper than a regular expression and most texts fail it.
@@ -94,8 +95,7 @@ def header_type(header: Column) -> Column:
 
 def header_text(top_text: Column, lines: int = 8) -> Column:
     """First lines of the text at the top of a page, upper case."""
-    trimmed = F.regexp_replace(top_text, unicode_regex(r"^\s+|\s+$"), "")
-    return F.upper(F.array_join(F.slice(F.split(trimmed, "\n"), 1, lines), "\n"))
+    return F.upper(F.substring_index(trimmed(top_text), "\n", lines))
 
 
 def dense_length(text: Column) -> Column:
@@ -110,28 +110,28 @@ def looks_garbled(text: Column) -> Column:
     return F.coalesce(F.size(good) * 10 < F.size(words) * 3, F.lit(True)) | (F.size(words) == 0)
 
 
-def _first_group(upper_text: Column, pattern: str) -> Column:
-    # JVM and reference agree on ASCII digits and blanks inside these patterns
+def first_group(upper_text: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(upper_text, unicode_regex(pattern), 1), F.lit(""))
 
 
-def rule_load_number(text: Column, strict: bool = False) -> Column:
+def rule_load_number(upper_text: Column, strict: bool = False) -> Column:
     """First number after LOAD, BOL, POD or INVOICE; ``strict`` takes only ``LOAD #``."""
-    pattern = vocab.STRICT_LOAD_PATTERN if strict else vocab.LOAD_NUMBER_PATTERN
-    return _first_group(F.upper(text), pattern)
+    return first_group(
+        upper_text, vocab.STRICT_LOAD_PATTERN if strict else vocab.LOAD_NUMBER_PATTERN
+    )
 
 
-def rule_amount(text: Column, field: str) -> Column:
-    digits = F.regexp_replace(_first_group(F.upper(text), vocab.MONEY_PATTERNS[field]), ",", "")
-    return digits.try_cast("decimal(12,2)")
+def rule_amount(upper_text: Column, field: str) -> Column:
+    """Digits of a money field, without separators."""
+    return F.regexp_replace(first_group(upper_text, vocab.MONEY_PATTERNS[field]), ",", "")
 
 
-def rule_date_text(text: Column, field: str) -> Column:
-    return _first_group(F.upper(text), vocab.DATE_PATTERNS[field])
+def rule_date_text(upper_text: Column, field: str) -> Column:
+    return first_group(upper_text, vocab.DATE_PATTERNS[field])
 
 
-def rule_signature(text: Column) -> Column:
-    return F.upper(text).rlike(unicode_regex(vocab.SIGNATURE_PATTERN))
+def rule_signature(upper_text: Column) -> Column:
+    return upper_text.rlike(unicode_regex(vocab.SIGNATURE_PATTERN))
 
 
 # --- fixed values: contact patterns --------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,13 +19,25 @@ _MONTHS = [
 ]
 
 
+# --- fixed values: white space -----------------------------------------------------
+WHITE_SPACE = (
+    " \t\n\x0b\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.trim(text, F.lit(WHITE_SPACE))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def number(text: Column, kind: str) -> Column:
     """Cast to ``kind``; anything that is not a plain number becomes null."""
-    return F.when(text.rlike(_NUMBER), text.try_cast(kind))
+    return bound(text, lambda t: F.when(t.rlike(_NUMBER), t.try_cast(kind)))
 
 
 def iso_date(text: Column) -> Column:
@@ -68,19 +82,24 @@ def normalize_date(text: Column) -> Column:
     )
 
 
+# --- fixed values: amount with an optional currency code before or behind it -------
+_AMOUNT = (
+    r"(?i)^[(\-]?\s*(?:(?:USD|CAD|MXN)\b\s*)*"
+    r"([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]{1,2})?)"
+    r"\s*(?:\b(?:USD|CAD|MXN)\b\s*)*\)?$"
+)
+
+
 def normalize_amount(text: Column) -> Column:
     """Signed amount of a money text such as ``($1,250.00)`` or ``-980 USD``."""
-    bare = trimmed(F.regexp_replace(trimmed(text), "[$€£¥]", ""))
-    bracketed = bare.startswith("(") & bare.endswith(")")
-    minus = bare.startswith("-")
-    inner = F.when(bracketed, F.regexp_replace(bare, r"^\(|\)$", "")).otherwise(
-        F.regexp_replace(bare, "^-", "")
-    )
-    digits = trimmed(
-        F.regexp_replace(F.regexp_replace(inner, ",", ""), r"(?i)\b(USD|CAD|MXN)\b", "")
-    )
-    amount = number(digits, MONEY)
-    return F.when(bracketed | minus, -amount).otherwise(amount).cast(MONEY)
+
+    def read(bare: Column) -> Column:
+        opened, closed = bare.startswith("("), bare.endswith(")")
+        amount = F.regexp_extract(bare, _AMOUNT, 1).try_cast(MONEY)
+        sign = F.when(opened | bare.startswith("-"), -1).otherwise(1)
+        return F.when(opened == closed, (amount * sign).cast(MONEY))
+
+    return bound(trimmed(F.regexp_replace(trimmed(text), "[$€£¥,]", "")), read)
 
 
 def detected_currency(text: Column) -> Column:
@@ -92,22 +111,20 @@ def detected_currency(text: Column) -> Column:
 def normalize_money(text: Column) -> Column:
     """Money struct from a bare text or from a JSON object with amount and currency."""
     is_object = F.ltrim(text).startswith("{")
-    inner = F.get_json_object(text, "$.amount")
     kept = F.coalesce(F.get_json_object(text, "$.currency"), F.lit("USD"))
-    amount = F.when(is_object, number(trimmed(inner), MONEY)).otherwise(normalize_amount(text))
+    inner = number(trimmed(F.get_json_object(text, "$.amount")), MONEY)
+    amount = F.when(is_object, inner).otherwise(normalize_amount(text))
     currency = F.when(is_object, kept).otherwise(F.lit("USD"))
-    return F.when(
-        amount.isNotNull(), F.struct(amount.alias("amount"), currency.alias("currency"))
+    return bound(
+        amount,
+        lambda a: F.when(a.isNotNull(), F.struct(a.alias("amount"), currency.alias("currency"))),
     )
 
 
 def normalize_weight(text: Column, unit: Column | None = None) -> Column:
     """Weight in pounds; a missing or unknown unit counts as pounds."""
-    v = trimmed(text)
     shape = r"^([\d,]+\.?\d*)\s*([a-zA-Z]*)"
-    value = number(F.regexp_replace(F.regexp_extract(v, shape, 1), ",", ""), "decimal(18,6)")
-    written = F.nullif(F.regexp_extract(v, shape, 2), F.lit(""))
-    chosen = F.lower(F.trim(written if unit is None else F.coalesce(unit, written)))
+    one = F.lit(1).cast("decimal(10,5)")
     factors = F.create_map(
         *[
             p
@@ -115,29 +132,40 @@ def normalize_weight(text: Column, unit: Column | None = None) -> Column:
             for p in (F.lit(u), F.lit(f).cast("decimal(10,5)"))
         ]
     )
-    factor = F.coalesce(
-        F.try_element_at(factors, F.coalesce(chosen, F.lit("lbs"))),
-        F.lit(1).cast("decimal(10,5)"),
-    )
-    return F.round(value * factor, 2).cast("decimal(18,2)")
+
+    def read(v: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_extract(v, shape, 1), ",", "")
+        written = F.nullif(F.regexp_extract(v, shape, 2), F.lit(""))
+        chosen = F.lower(F.trim(written if unit is None else F.coalesce(unit, written)))
+        factor = F.coalesce(F.try_element_at(factors, chosen), one)
+        return F.round(digits.try_cast("decimal(18,6)") * factor, 2).cast("decimal(18,2)")
+
+    return bound(trimmed(text), read)
+
+
+def _by_type() -> dict[str, list[str]]:
+    """Synonyms per charge type; the table lists all synonyms of a type together."""
+    out: dict[str, list[str]] = {}
+    for synonym, kind in vocab.CHARGE_SYNONYMS.items():
+        out.setdefault(kind, []).append(synonym)
+    return out
 
 
 def charge_type(label: Column) -> Column:
     """Controlled charge name for a free label.
 
     An exact synonym wins; otherwise the first synonym in table order that
-    contains the label or is contained in it; otherwise ``other``.
+    contains the label or is contained in it; otherwise ``other``.  The order
+    only matters between types, so one alternation and one search per type do.
     """
     key = F.lower(trimmed(label))
-    exact = None
-    partial = F.when(key.isNull() | (key == ""), "other")
-    for synonym, kind in vocab.CHARGE_SYNONYMS.items():
-        same = key == synonym
-        exact = F.when(same, kind) if exact is None else exact.when(same, kind)
-        partial = partial.when(
-            F.contains(key, F.lit(synonym)) | F.contains(F.lit(synonym), key), kind
-        )
-    return F.coalesce(exact, partial.otherwise("other"))
+    out = F.when(key.isNull() | (key == ""), "other")
+    for kind, names in _by_type().items():
+        out = out.when(key.isin(names), kind)
+    for kind, names in _by_type().items():
+        contained = key.rlike("|".join(names))
+        out = out.when(contained | F.contains(F.lit("\x01".join(names)), key), kind)
+    return out.otherwise("other")
 
 
 def snake(label: Column) -> Column:
@@ -161,6 +189,9 @@ def money_text(amount: Column) -> Column:
 
 def quantity_text(value: Column) -> Column:
     """Whole numbers without a point, others without trailing zeros."""
-    return F.when(value == F.floor(value), value.cast("bigint").cast("string")).otherwise(
-        F.regexp_replace(value.cast("string"), "0+$", "")
+    return bound(
+        value,
+        lambda q: F.when(q == F.floor(q), q.cast("bigint").cast("string")).otherwise(
+            F.regexp_replace(q.cast("string"), "0+$", "")
+        ),
     )

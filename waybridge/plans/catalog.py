@@ -530,7 +530,7 @@ def rule_extract(spark, d):
 
 @query
 def strict_numbers(spark, d):
-    t = F.col("text")
+    t = F.upper("text")
     return fx.texts(spark, d).select(
         "document_id",
         text.rule_load_number(t).alias("own_number"),

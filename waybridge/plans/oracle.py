@@ -172,7 +172,7 @@ from f_lines group by f_lines.shipment_id, line_item""")
 
 part("f_documents", f"""
 select o_orderkey as job_id, o_orderkey * 4 + i as document_id, o_custkey as account_id, o_orderkey as shipment_id,
-  {_case("i", vocab.DOC_TYPES)} as doc_type, i * 3 + 1 as page_start, i * 3 + 3 as page_end,
+  {_case("i", vocab.DOC_TYPES)} as doc_type, (i * 3 + 1)::integer as page_start, (i * 3 + 3)::integer as page_end,
   cast((o_orderkey * 53 + i * 17) % 301 / 1000.0 + 0.7 as decimal(4,3)) as class_confidence,
   case when (o_orderkey + i) % 10 = 0 then '  '
        else 'RC-' || cast(o_orderkey + case when i = 3 and o_orderkey % 9 = 0 then 1 else 0 end as varchar) end as load_number,
@@ -262,7 +262,7 @@ select document_id, doc_type,
 from f_normal group by document_id, doc_type""")
 add("canonical_documents", "select * from f_wide")
 add("nested_charges", """
-select document_id, doc_type, 0 as pos, 'linehaul' as category, linehaul_rate as amount from f_wide where doc_type = 'rate_con'
+select document_id, doc_type, 0::bigint as pos, 'linehaul' as category, linehaul_rate as amount from f_wide where doc_type = 'rate_con'
 union all select document_id, doc_type, 1, 'fuel_surcharge', fuel_surcharge from f_wide where doc_type = 'rate_con'
 union all select document_id, doc_type, 2, 'detention', cast(amount as double) from f_normal where field_name = 'accessorials' and turn <> 1
 union all select document_id, doc_type, 0, 'linehaul', cast(amount as double) from f_normal where field_name = 'line_items' and turn <> 1""")
@@ -529,11 +529,11 @@ from (select job_id, length(regexp_replace(text, '[\s\v\x{85}\x{A0}\p{Z}]+', '',
 add("scan_detect", "select * from f_scan")
 add("extraction_route", "select job_id, case when not is_scanned and is_born_digital then 'text' else 'needs_ocr' end as route from f_scan")
 add("segment_text", """
-select job_id, page_start, page_end, 0 as part_no, pages, length(text) as chars, sha256(text) as text_hash from (
+select job_id, page_start, page_end::integer as page_end, 0::bigint as part_no, pages, length(text)::integer as chars, sha256(text) as text_hash from (
   select job_id, (page_no - 1) // 8 * 8 + 1 as page_start, max(page_no) as page_end, count(*) as pages,
     string_agg(text, chr(10) || chr(10) order by page_no) as text from f_pages group by job_id, (page_no - 1) // 8)""")
 add("pages_in_segments", """
-select job_id, page_no, (page_no - 1) // 5 * 5 + 1 as page_start, max(page_no) over (partition by job_id, (page_no - 1) // 5) as page_end
+select job_id, page_no::integer as page_no, (page_no - 1) // 5 * 5 + 1 as page_start, (max(page_no) over (partition by job_id, (page_no - 1) // 5))::integer as page_end
 from f_pages qualify ((page_no - 1) // 5 * 5 + 1) % 2 = 1""")
 
 
@@ -617,8 +617,8 @@ from f_choice join (
   union all select * from f_proposed) using (job_id)
 where method = choice or (choice = 'single' and method = 'header')""")
 add("layout_features", """
-select job_id, page_no,
-  case when n > 0 then round(coalesce(size_sum * 1.0::double / nullif(sizes, 0), 12.0::double), 2) else 0.0::double end as avg_font_size,
+select job_id, page_no::integer as page_no,
+  case when n > 0 then coalesce(((200 * size_sum + sizes) // (2 * nullif(sizes, 0))) / 100.0::double, 12.0::double) else 0.0::double end as avg_font_size,
   case when n > 0 then round(lowest, 2) else 0.0::double end as top_margin,
   case when n > 0 then round(chars / 484704.0::double, 6) else 0.0::double end as text_density
 from (select job_id, page_no, count(nullif(w, '')) as n, sum(case when length(w) % 5 <> 4 then 8 + length(w) % 3 end) as size_sum,
@@ -664,7 +664,7 @@ add("status_groups", f"""
 select case when status in {_in(vocab.PROCESSING_STATUSES)} then 'processing' else status end as status_group,
   status in {_in(vocab.TERMINAL_STATUSES)} as terminal, count(*) as jobs from f_jobs group by 1, 2""")
 add("job_detail", """
-select j.job_id, j.status, 0 as part_no, coalesce(d.documents, '') as documents from f_jobs j left join (
+select j.job_id, j.status, 0::bigint as part_no, coalesce(d.documents, '') as documents from f_jobs j left join (
   select job_id, string_agg(concat_ws(':', document_id, doc_type, page_start, page_end), ',' order by page_start) as documents
   from f_documents group by job_id) d on d.job_id = j.job_id""")
 part("f_done", f"select * from f_jobs where status in {_in(vocab.RESULT_STATUSES)}")
@@ -674,7 +674,7 @@ _REASON_TEXT = ", ".join(
 )
 _REASON_FLAGS = ", ".join(f"bool_or(reason = '{x}') as {x}" for x in vocab.REVIEW_REASONS)
 add("result_document", f"""
-select j.job_id, 0 as part_no, j.shipment_id, coalesce(d.n, 0) as documents, coalesce(f.n, 0) as fields, coalesce(m.n, 0) as match_lines,
+select j.job_id, 0::bigint as part_no, j.shipment_id, coalesce(d.n, 0)::integer as documents, coalesce(f.n, 0) as fields, coalesce(m.n, 0)::integer as match_lines,
   r.job_id is not null as review_required, concat_ws(';', {_REASON_TEXT}) as review_reasons
 from f_done j left join (select job_id, count(*) as n from f_documents group by job_id) d on d.job_id = j.job_id
 left join (select job_id, count(*) as n from f_fields group by job_id) f on f.job_id = j.job_id
@@ -808,7 +808,7 @@ _HEAD = (
     'Reply with JSON only: {"doc_type": "...", "confidence_reasoning": "..."}'
 )
 add("prompt_requests", f"""
-select document_id, 'classification_v1' as template, part_no,
+select document_id, 'classification_v1' as template, part_no::integer as part_no,
   sha256('classification_v1:' || sha256(text) || case when part_no > 0 then '#' || cast(part_no as varchar) else '' end || ':1') as cache_key,
   sha256({_lit(_HEAD)} || chr(10) || {_lit(_SAFE)} || chr(10) || chr(10) || substring(text, part_no * 3000 + 1, 3000)) as prompt_hash
 from (select document_id, text, unnest(range(greatest(cast(ceil(length(text) / 3000.0) as bigint), 1))) as part_no from f_texts)""")
@@ -857,7 +857,7 @@ select count(*) as lines, count(*) filter (where a.discrepancy_flag = b.discrepa
   round(count(*) filter (where a.discrepancy_flag = b.discrepancy_flag) / count(*)::double, 4) as accuracy
 from f_matches a full join f_matches_sum b on a.shipment_id = b.shipment_id and a.line_item = b.line_item""")
 part("f_buckets", """
-select bucket, count(*) as n, round(sum(m)::double / count(*) / 1000, 4) as mean_confidence, round(sum(ok)::double / count(*), 4) as accuracy,
+select bucket::integer as bucket, count(*) as n, round(sum(m)::double / count(*) / 1000, 4) as mean_confidence, round(sum(ok)::double / count(*), 4) as accuracy,
   round(abs(sum(m)::double / count(*) / 1000 - sum(ok)::double / count(*)), 4) as gap
 from (select d.n_chars % 1001 as m, least(d.n_chars % 1001 // 100, 9) as bucket, case when quality = 1 then 1 else 0 end as ok from documents d join labels l using (doc_id)) group by bucket""")
 add("calibration", "select * from f_buckets")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waybridge import vocab
@@ -18,6 +18,16 @@ from waybridge.operators.hotkeys import attach_per_key
 CHILD_TABLES = {"documents": "job_id", "extracted_fields": "document_id", "review_queue": "job_id"}
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, spread over all cores when it has too few splits for them.
+
+    A table of real size has more splits than cores and is read as it is.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def all_of(*conditions: Column | None) -> Column:
     """The given conditions combined with AND; no condition at all keeps every row."""
     return reduce(lambda a, b: a & b, [c for c in conditions if c is not None], F.lit(True))
