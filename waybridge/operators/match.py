@@ -69,8 +69,8 @@ def _quantity_entries(quantities: DataFrame) -> DataFrame:
     )
 
 
-def _spine(shipments: DataFrame) -> DataFrame:
-    lines = F.array(*[F.lit(n) for n in vocab.SPINE_LINES])
+def _spine(shipments: DataFrame, names: list[str]) -> DataFrame:
+    lines = F.array(*[F.lit(n) for n in names])
     return shipments.select(
         "shipment_id",
         F.explode(lines).alias("line_item"),
@@ -105,20 +105,41 @@ def sided_lines(
     rows = (
         _charge_entries(charges, map_invoice)
         .unionByName(_quantity_entries(quantities))
-        .unionByName(_spine(shipments))
+        .unionByName(_spine(shipments, vocab.SPINE_LINES))
     )
-    turn = F.struct("rank", "turn", "value")
+    return _by_line(rows, duplicates)
+
+
+def quantity_lines(quantities: DataFrame, shipments: DataFrame | None = None) -> DataFrame:
+    """Weight and pieces lines only, for checks that need no charges."""
+    if shipments is None:
+        shipments = quantities.select("shipment_id").distinct()
+    rows = _quantity_entries(quantities).unionByName(_spine(shipments, ["weight", "pieces"]))
+    return _by_line(rows, "last")
+
+
+def _by_line(rows: DataFrame, duplicates: str) -> DataFrame:
+    # rank, turn and value in one number: fixed-size buffers let the aggregate hash
+    # its groups, while a struct would make it sort all rows
+    place = F.col("turn") + F.col("rank") * (1 << 61)
+    turn = place.cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + (
+        F.col("value") * 10000
+    ).cast("decimal(18,0)")
 
     def chosen(side: str) -> Column:
         mine = F.col("side") == side
-        one = F.min_by("value", F.when(mine & F.col("value").isNotNull(), turn))
+        one = F.min_by("value", F.when(mine & F.col("value").isNotNull(), F.col("_turn")))
         if duplicates == "sum":
             one = F.when(F.col("line_item").isin(vocab.SPINE_LINES), one).otherwise(
                 F.sum(F.when(mine, F.col("value")))
             )
         return one.alias(side)
 
-    return rows.groupBy("shipment_id", "line_item").agg(*[chosen(s) for s in vocab.DOC_TYPES])
+    return (
+        rows.withColumn("_turn", turn)
+        .groupBy("shipment_id", "line_item")
+        .agg(*[chosen(s) for s in vocab.DOC_TYPES])
+    )
 
 
 def flagged_lines(lines: DataFrame) -> DataFrame:

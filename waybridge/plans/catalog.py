@@ -86,10 +86,8 @@ def discrepancy_rows(spark, d):
 
 @query
 def quantity_variance(spark, d):
-    lines = match.sided_lines(
-        fx.charges(spark, d).limit(0), fx.quantities(spark, d), fx.shipments(spark, d)
-    )
-    flagged = match.flagged_lines(lines.filter(F.col("line_item").isin("weight", "pieces")))
+    lines = match.quantity_lines(fx.quantities(spark, d), fx.shipments(spark, d))
+    flagged = match.flagged_lines(lines)
     return plain(flagged.filter(F.col("discrepancy_flag") != "none").drop("line_ord"))
 
 

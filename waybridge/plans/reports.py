@@ -196,8 +196,12 @@ def result_documents(
     value = F.struct(
         F.col("field_value").alias("value"), F.col("confidence"), source.alias("source")
     )
-    field_maps = fields.groupBy("document_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_name", value)))).alias(
+    # a name that was stored twice counts with its most certain value
+    named = fields.groupBy("document_id", "field_name").agg(
+        F.max_by(value, F.struct("confidence", "field_value")).alias("_value")
+    )
+    field_maps = named.groupBy("document_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_name", "_value")))).alias(
             "fields"
         )
     )

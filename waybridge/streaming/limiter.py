@@ -69,16 +69,18 @@ def admit(
     wait = np.zeros(n, dtype=np.int64)
     i = 0
     while i < n:
-        now = times[i]
+        now = int(times[i])
         while window and window[0] <= now - width:
             window.popleft()
         if len(window) < limit:
             ok[i] = True
-            window.append(int(now))
+            window.append(now)
             i += 1
         else:
             free_at = (window[0] if window else now) + width
-            j = max(int(np.searchsorted(times, free_at, side="left")), i + 1)
+            j = i + 1
+            if j < n and times[j] < free_at:
+                j += int(np.searchsorted(times[j:], free_at, side="left"))
             wait[i:j] = (free_at - times[i:j]) // 1_000_000 + 1
             i = j
     return ok, wait
@@ -135,23 +137,28 @@ def rate_limited(
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, window = None, deque()
         for batch in batches:
-            runs_in_batch = (batch["account_id"] != batch["account_id"].shift()) | (
-                batch["_run"] != batch["_run"].shift()
-            )
-            for _, piece in batch.groupby(runs_in_batch.cumsum(), sort=False):
-                name = (piece["account_id"].iloc[0], piece["_run"].iloc[0])
+            account, run = batch["account_id"].to_numpy(), batch["_run"].to_numpy()
+            times = batch["_us"].to_numpy()
+            ok = np.empty(len(times), dtype=bool)
+            wait = np.empty(len(times), dtype=np.int64)
+            changes = (account[1:] != account[:-1]) | (run[1:] != run[:-1])
+            starts = np.concatenate(([0], np.flatnonzero(changes) + 1, [len(times)]))
+            for i, j in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                if i == j:
+                    continue
+                name = (account[i], run[i])
                 if name != current:
                     current, window = name, deque()
-                ok, wait = admit(piece["_us"].to_numpy(), window, limit, width)
-                yield pd.DataFrame(
-                    {
-                        "account_id": piece["account_id"],
-                        "submission_id": piece["submission_id"],
-                        "accepted": ok,
-                        "retry_after": wait,
-                        "lead_in": piece["_lead_in"],
-                    }
-                )
+                ok[i:j], wait[i:j] = admit(times[i:j], window, limit, width)
+            yield pd.DataFrame(
+                {
+                    "account_id": account,
+                    "submission_id": batch["submission_id"],
+                    "accepted": ok,
+                    "retry_after": wait,
+                    "lead_in": batch["_lead_in"],
+                }
+            )
 
     decided = (
         placed.filter(F.col("_run").isNotNull())
