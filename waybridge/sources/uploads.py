@@ -29,8 +29,24 @@ def reject_code(length: Column, content: Column, limit: int = vocab.MAX_UPLOAD_B
     )
 
 
-def gate_uploads(uploads: DataFrame, limit: int = vocab.MAX_UPLOAD_BYTES) -> DataFrame:
-    return uploads.withColumn("reject_code", reject_code(F.col("length"), F.col("content"), limit))
+def gate_uploads(
+    uploads: DataFrame, limit: int = vocab.MAX_UPLOAD_BYTES, announced: DataFrame | None = None
+) -> DataFrame:
+    """Add ``reject_code`` to uploads.
+
+    Spark's file readers pass over files without content.  ``announced``, a
+    table with the path of every upload, brings those back as refused rows.
+    """
+    gated = uploads.withColumn("reject_code", reject_code(F.col("length"), F.col("content"), limit))
+    if announced is None:
+        return gated
+    empty = announced.select("path").join(uploads.select("path"), "path", "left_anti")
+    return gated.unionByName(
+        empty.withColumn("length", F.lit(0).cast("bigint")).withColumn(
+            "reject_code", F.lit("invalid_pdf")
+        ),
+        allowMissingColumns=True,
+    )
 
 
 def job_blob(job_blobs: DataFrame, job_id) -> DataFrame:
