@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waybridge import vocab
 from waybridge.operators.hotkeys import attach_per_key
+from waybridge.session import materialized
 
 # action -> state it leads to
 TARGET_STATE = {
@@ -55,7 +56,8 @@ def judge_actions(actions: DataFrame) -> DataFrame:
 
     def step(df: DataFrame, condition: Column, name: str) -> DataFrame:
         first = F.min(F.when(condition, F.struct("_at", "action")))
-        return attach_per_key(df, ["item_id"], ["action_id"], {name: (first, F.min)})
+        out = attach_per_key(df, ["item_id"], ["action_id"], {name: (first, F.min)})
+        return out if name == "_closing" else materialized(out, "review-actions")
 
     one = step(marked, F.col("action") == "claim", "_claim")
     decided = (F.col("_at") > F.col("_claim._at")) & (

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "waybridge", master: str | None = None, **conf: str) -> SparkSession:
@@ -42,3 +42,14 @@ def durable_dir(spark: SparkSession, purpose: str) -> str:
         root = tempfile.mkdtemp(prefix="waybridge-")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
+
+
+def materialized(df: DataFrame, purpose: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and go on from the copy.
+
+    Used where a later step reads the same rows several times, so that they are
+    computed once and a lost executor does not bring the whole history back.
+    """
+    path = durable_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
