@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -29,6 +30,11 @@ def build_session(app: str = "waybridge", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="waybridge-")
+
+
 def durable_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for one run inside the folder named by ``spark.checkpoint.dir``.
 
@@ -39,8 +45,7 @@ def durable_dir(spark: SparkSession, purpose: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="waybridge-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root()
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
 
 
