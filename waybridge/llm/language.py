@@ -7,6 +7,7 @@ from its place in the profile, and a fixed maximum where the profile does not ha
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +23,12 @@ MAX_N = 3
 PROFILE = 400
 
 
+@functools.cache
 def letter_table():
-    """For every code point: its lower-case form if it is a letter, else 0."""
+    """For every code point: its lower-case form if it is a letter, else 0.
+
+    Built once on the driver; it travels with the functions that use it.
+    """
     import numpy as np
 
     def low(i: int) -> int:
@@ -83,12 +88,12 @@ def profiles(
     are passed over.  Counts are summed inside each task before they are shuffled.
     """
 
+    table = letter_table()
+
     def work(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        table = letter_table()
-
         def emit(held: dict):
             for lang, parts in held.items():
                 if parts:
@@ -134,8 +139,9 @@ def identify(
     text_col: str = "text",
     size: int = PROFILE,
     keep: tuple[str, ...] = (),
+    with_text: bool = False,
 ) -> DataFrame:
-    """(id, ``keep`` columns, lang_pred, score): the nearest profile of each whole text.
+    """(id, ``keep`` columns[, text], lang_pred, score): the nearest profile of each whole text.
 
     The score is 1 minus the distance relative to the greatest possible one; ties go to
     the language first in alphabetical order.  A null text, or one without a letter, is
@@ -166,13 +172,14 @@ def identify(
         best = int(total.argmin())
         return langs[best], 1.0 - float(total[best]) / (size * len(top))
 
+    table = letter_table()
+
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        table = letter_table()
         for batch in batches:
             found = [nearest(t, table) for t in batch.column("text").to_pylist()]
-            rest = batch.drop_columns(["text"])
+            rest = batch.select(out)
             yield pa.RecordBatch.from_arrays(
                 [
                     *rest.columns,
@@ -183,7 +190,8 @@ def identify(
             )
 
     source = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text"))
-    kinds = ", ".join(f"`{c}` {type_of(source, c)}" for c in ("id", *keep))
+    out = ["id", *keep, *(["text"] if with_text else [])]
+    kinds = ", ".join(f"`{c}` {type_of(source, c)}" for c in out)
     return source.mapInArrow(work, f"{kinds}, lang_pred string, score double")
 
 
@@ -196,11 +204,9 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     model = profiles(docs.filter(~in_fold(F.col("doc_id"), 4, 2)))
     columns = [c for c in docs.columns if c not in ("doc_id", "text")]
     aside = {c: f"_{i}" for i, c in enumerate(columns)}
-    wide = docs.select(
-        "doc_id", "text", F.col("text").alias("_text"), *[F.col(c).alias(a) for c, a in aside.items()]
-    )
-    found = identify(wide, model, keep=("_text", *aside.values()))
-    back = {"doc_id": "id", "text": "_text", **aside}
+    wide = docs.select("doc_id", "text", *[F.col(c).alias(a) for c, a in aside.items()])
+    found = identify(wide, model, keep=tuple(aside.values()), with_text=True)
+    back = {"doc_id": "id", "text": "text", **aside}
     return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0)).select(
         *[F.col(back[c]).alias(c) for c in docs.columns]
     )
