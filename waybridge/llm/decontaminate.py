@@ -32,23 +32,31 @@ _SPACE = r"[\t-\r ]+"
 
 
 def spaced(text: Column) -> Column:
-    return F.regexp_replace(text, _SPACE, " ")
+    return F.regexp_replace(text, r"[\t-\r ]{2,}|[\t-\r]", " ")
 
 
 def template(flat: Column) -> Column:
-    """The template of a text whose white space is single blanks; tokens stay in place."""
+    """The template of a text whose white space is single blanks, but for units; tokens stay in place."""
     out = F.regexp_replace(flat, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<num>")
     out = F.regexp_replace(out, r"(?<=[^ .!?:] )(?=\p{Lu}\p{Ll})[^ ]+", "<name>")
     out = F.lower(out)
-    out = F.regexp_replace(out, rf"(?<=[\p{{L}}\p{{N}}>]){_MARKS}(?= |$)", "")
-    out = F.regexp_replace(out, rf"(?<![^ ]){_MARKS}(?=[\p{{L}}\p{{N}}<])", "")
-    return F.regexp_replace(out, rf"(?<![^ ])(?:{'|'.join(UNITS)})(?= |$)", "<unit>")
+    # the first lookahead only spares the costlier look back at most places
+    out = F.regexp_replace(
+        out, rf"(?={_MARKS[:-1]})(?<=[\p{{L}}\p{{N}}>]){_MARKS}(?= |$)", ""
+    )
+    return F.regexp_replace(out, rf"(?={_MARKS[:-1]})(?<![^ ]){_MARKS}(?=[\p{{L}}\p{{N}}<])", "")
 
 
 def _tokens(flat: Column) -> Column:
     return F.split(flat, " ", -1)
 
 
+def _template_tokens(flat: Column) -> Column:
+    return F.transform(
+        _tokens(template(flat)), lambda t: F.when(t.isin(UNITS), "<unit>").otherwise(t)
+    )
+
+
 def _windows(tokens: Column, size: int) -> Column:
     """Array of (position from 1, hash) of all runs of ``size`` tokens; none if shorter."""
     last = F.size(tokens) - size + 1
@@ -63,7 +71,7 @@ def _literal(tokens: Column) -> Column:
 def item_windows(bench: DataFrame, size: int = WINDOW) -> DataFrame:
     """(item, len, b, h): windows of the items in which at least half the tokens are words."""
     flat = spaced(or_empty(F.col("text")))
-    items = once(bench, c=_tokens(template(flat)), r=_tokens(flat)).withColumnRenamed("item_id", "item")
+    items = once(bench, c=_template_tokens(flat), r=_tokens(flat)).withColumnRenamed("item_id", "item")
     spread = items.select("item", "c", "r", F.explode(_windows(F.col("c"), size)).alias("w"))
     return spread.filter(
         F.size(_literal(F.slice("c", F.col("w.i"), size))) * 2 >= size
@@ -96,7 +104,7 @@ def contaminated(
     text = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th")
     ).filter(F.col("text").isNotNull())
-    tokens = once(text, c=_tokens(template(spaced(F.col("text"))))).select("id", "th", "c")
+    tokens = once(text, c=_template_tokens(spaced(F.col("text")))).select("id", "th", "c")
     spread = tokens.select("id", "th", F.explode(_windows(F.col("c"), size)).alias("w")).select(
         "id", "th", F.col("w.i").alias("i"), F.col("w.h").alias("h")
     )
@@ -123,7 +131,7 @@ def contaminated(
         wanted, text["id"].eqNullSafe(wanted["hit_id"]) & (text["th"] == wanted["th"])
     ).select("id", text["th"], "item", "d", "bs", "text")
     flat = spaced(F.col("text"))
-    both = once(texts, doc_r=_tokens(flat), doc_c=_tokens(template(flat))).drop("text")
+    both = once(texts, doc_r=_tokens(flat), doc_c=_template_tokens(flat)).drop("text")
     own = items.select("item", "c", "r").distinct().withColumnRenamed("item", "own_item")
     aligned = both.join(own, both["item"].eqNullSafe(own["own_item"]))
     # item positions under the windows that stand in the document
