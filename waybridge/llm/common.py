@@ -32,6 +32,25 @@ def type_of(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
+#: rows of an Arrow batch where the session leaves the number open
+BATCH_ROWS = 500
+
+
+def texts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """(id, ``more``, text) for Python workers, null texts as empty ones.
+
+    Whole documents travel in Arrow batches; with the default of 10,000 rows one batch of
+    long texts would fill a worker, so a session that has not chosen another size gets
+    a smaller one.
+    """
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return docs.select(
+        F.col(id_col).alias("id"), *more, or_empty(F.col(text_col)).alias("text")
+    )
+
+
 def byte_texts(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow text column; null becomes empty."""
     import pyarrow as pa

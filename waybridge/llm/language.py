@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from waybridge.llm.common import in_fold, read, type_of
+from waybridge.llm.common import in_fold, read, texts, type_of
 
 UNKNOWN = "und"
 #: longest n-gram; three code points of 21 bits fill one 64-bit number
@@ -118,7 +118,7 @@ def profiles(
                     held, chars = {}, 0
         yield from emit(held)
 
-    source = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna()
+    source = texts(docs, lang_col, text_col).filter(F.col("id").isNotNull())
     counts = (
         source.mapInArrow(work, "lang string, gram long, n long")
         .groupBy("lang", "gram")
@@ -189,7 +189,7 @@ def identify(
                 [*rest.schema.names, "lang_pred", "score"],
             )
 
-    source = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text"))
+    source = texts(docs, id_col, text_col, *keep)
     out = ["id", *keep, *(["text"] if with_text else [])]
     kinds = ", ".join(f"`{c}` {type_of(source, c)}" for c in out)
     return source.mapInArrow(work, f"{kinds}, lang_pred string, score double")

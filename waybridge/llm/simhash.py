@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybridge.llm.common import LOWER, byte_texts, or_empty, read, type_of
+from waybridge.llm.common import LOWER, byte_texts, read, texts, type_of
 from waybridge.llm.graph import components
 from waybridge.session import materialized
 
@@ -90,7 +90,7 @@ def fingerprints(
                 [batch.column(0), pa.array(fps, pa.int64())], ["id", "fp"]
             )
 
-    source = docs.select(F.col(id_col).alias("id"), or_empty(F.col(text_col)).alias("text"))
+    source = texts(docs, id_col, text_col)
     return source.mapInArrow(work, f"id {type_of(source, 'id')}, fp long")
 
 
@@ -225,7 +225,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, families: int) -> Data
                 ["id", "class", "words", "fps"],
             )
 
-    source = docs.select(F.col(id_col).alias("id"), or_empty(F.col(text_col)).alias("text"))
+    source = texts(docs, id_col, text_col)
     return source.mapInArrow(
         work, f"id {type_of(source, 'id')}, class binary, words long, fps array<long>"
     )
@@ -350,12 +350,12 @@ def near_duplicates(
                 [*rest.columns, pa.array(out, pa.list_(pa.int64()))], [*rest.schema.names, "sh"]
             )
 
-    source = docs.select(F.col(id_col).alias("least"), or_empty(F.col(text_col)).alias("text"))
-    texts = source.join(chosen, source["least"].eqNullSafe(chosen["least"])).select(
+    source = texts(docs, id_col, text_col)
+    whole = source.join(chosen, source["id"].eqNullSafe(chosen["least"])).select(
         "class", "root", "nb", "text"
     )
     cells = (
-        texts.mapInArrow(sets, "class binary, root string, nb long, sh array<long>")
+        whole.mapInArrow(sets, "class binary, root string, nb long, sh array<long>")
         .withColumn("i", F.pmod(F.xxhash64("class"), F.col("nb")))
         .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         .groupBy("root", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"))
