@@ -1,8 +1,19 @@
 """The named queries of this subpackage and their SQL."""
 
-from waybridge.llm import decontaminate, language, lines, packing, simhash
+from waybridge.llm import (
+    classlm,
+    decontaminate,
+    htmltext,
+    language,
+    license,
+    lines,
+    packing,
+    quality,
+    search,
+    simhash,
+)
 
-_MODULES = (simhash, lines, decontaminate, language, packing)
+_MODULES = (license, classlm, htmltext, simhash, lines, quality, search, decontaminate, language, packing)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
