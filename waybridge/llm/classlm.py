@@ -93,7 +93,8 @@ def neighbours(source: DataFrame, own: dict[bytes, int]) -> DataFrame:
         parts, held = [], 0
         for batch in batches:
             for text in byte_texts(batch.column("text")):
-                known = [own.get(w, -1) for w in (words := tokens(text))]
+                words = tokens(text)
+                known = [own.get(w, -1) for w in words]
                 units = [k if k >= 0 else base + _ending(w) for k, w in zip(known, words, strict=True)]
                 line = np.array([end, *units, end], np.int64)
                 parts.append(line[:-1] * size + line[1:])
