@@ -15,13 +15,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from waybridge.llm.common import in_fold, lower_ascii, once, or_empty, read  # noqa: F401
+from waybridge.llm.common import lower_ascii, once, or_empty, read
+from waybridge.session import materialized
 
 K = 2
 #: diagonals this far apart may belong to one span
 SLACK = 3
-#: share of a template's words that a span must cover
+#: share of a template's words that a span must cover ...
 COVER = 0.75
+#: ... where the template has so many words; shorter ones differ by a word and must be whole
+WHOLE_BELOW = 8
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: phrases that must be found in full, wherever they stand
 BASE = (
@@ -105,10 +108,8 @@ def license_spans(
     ``th`` is the hash of the text, so that rows with one id and different texts stay
     apart; repeated rows vote once.  ``first`` and ``last`` are word positions from 0,
     ``covered`` the share of the template's words under the span's hits.  A base phrase counts in
-    full on one diagonal only.  Templates have at least k words.
+    full on one diagonal only, and so must templates of under 8 words.  Templates have at least k words.
     """
-    from waybridge.session import materialized
-
     spark = docs.sparkSession
     listed = [(t, label, True) for t, label in base] + [(t, label, False) for t, label in templates]
     places = F.broadcast(materialized(template_places(spark, listed, k), "templates"))
@@ -131,7 +132,7 @@ def license_spans(
     near = W.partitionBy("id", "th", "tpl").orderBy("d")
     # diagonals in order; a gap above the slack opens a new span, a base phrase always does
     spans = (
-        votes.withColumn("_new", F.coalesce(F.col("d") - F.lag("d").over(near) > slack, F.lit(True)) | F.col("exact"))
+        votes.withColumn("_new", F.coalesce(F.col("d") - F.lag("d").over(near) > slack, F.lit(True)) | F.col("exact") | (F.col("size") < WHOLE_BELOW))
         .withColumn("_span", F.sum(F.col("_new").cast("int")).over(near))
         .groupBy("id", "th", "tpl", "label", "exact", "size", "_span")
         .agg(
@@ -146,7 +147,10 @@ def license_spans(
     return (
         spans.withColumn("last", F.col("_last") + (k - 1))
         .withColumn("covered", under / F.col("size"))
-        .filter(F.when(F.col("exact"), F.size("at") == F.col("size") - (k - 1)).otherwise(F.col("covered") >= cover))
+        .filter(
+            F.when(F.col("exact") | (F.col("size") < WHOLE_BELOW), F.size("at") == F.col("size") - (k - 1))
+            .otherwise(F.col("covered") >= cover)
+        )
         .select("id", "th", "tpl", "label", "exact", "first", "last", "covered")
     )
 

@@ -2,7 +2,8 @@
 
 Good and bad labelled texts each fill a zstandard dictionary.  A text is compressed with both;
 the difference of the two sizes, divided by the text's own size, says which kind it resembles.
-A logistic curve fitted on labelled texts outside the dictionaries turns it into a probability.
+A logistic curve fitted on labelled texts outside the dictionaries turns it into a probability;
+since two small sizes cannot differ much, the curve also sees the smaller size itself.
 """
 
 from __future__ import annotations
@@ -46,7 +47,8 @@ def dictionary(docs: DataFrame, chosen: DataFrame, size: int = DICTIONARY) -> by
 
 
 def differences(docs: DataFrame, good: bytes, bad: bytes, level: int = LEVEL) -> DataFrame:
-    """(id, x): how many bytes per byte the bad dictionary costs more than the good one."""
+    """(id, x, y): per byte of text, what the bad dictionary costs more than the good one, and
+    the smaller of both sizes (1 at most; 0.5 for an empty text)."""
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -62,37 +64,43 @@ def differences(docs: DataFrame, good: bytes, bad: bytes, level: int = LEVEL) ->
                 )
             )
         for batch in batches:
-            out = []
+            out, least = [], []
             for text in byte_texts(batch.column("text")):
                 kind, other = (len(c.compress(text)) for c in coders)
                 out.append((other - kind) / len(text) if text else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.float64())], ["id", "x"])
+                least.append(min(1.0, min(kind, other) / len(text)) if text else 0.5)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(out, pa.float64()), pa.array(least, pa.float64())],
+                ["id", "x", "y"],
+            )
 
-    return docs.select("id", "text").mapInArrow(work, f"id {type_of(docs, 'id')}, x double")
+    return docs.select("id", "text").mapInArrow(
+        work, f"id {type_of(docs, 'id')}, x double, y double"
+    )
 
 
-def logistic(counted: list[tuple[float, int, int]]) -> tuple[float, float]:
-    """(a, b) of 1/(1+exp(-(a+b*x))) for rows of (x, label, number), lightly held back.
+def logistic(counted: list[tuple[float, float, int, int]]) -> tuple[float, float, float]:
+    """(a, b, c) of 1/(1+exp(-(a+b*x+c*y))) for rows of (x, y, label, number), lightly held back.
 
     Without any row the score is one half; with one class it leans to that class.
     """
     import numpy as np
 
     if not counted:
-        return 0.0, 0.0
-    x, y, n = (np.array(c, float) for c in zip(*counted, strict=True))
-    design = np.stack([np.ones_like(x), x], axis=1)
-    w = np.zeros(2)
+        return 0.0, 0.0, 0.0
+    x, z, y, n = (np.array(c, float) for c in zip(*counted, strict=True))
+    design = np.stack([np.ones_like(x), x, z], axis=1)
+    w = np.zeros(3)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        held = np.array([1e-2, 1e-4])
+        held = np.array([1e-2, 1e-4, 1e-4])
         grad = design.T @ (n * (y - p)) - held * w
         hess = (design * (n * p * (1 - p))[:, None]).T @ design + np.diag(held)
         step = np.linalg.solve(hess, grad)
         w += step * min(1.0, 20.0 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0]), float(w[1])
+    return float(w[0]), float(w[1]), float(w[2])
 
 
 def quality_scores(
@@ -110,7 +118,8 @@ def quality_scores(
 
     ``labels`` (id, label 0 or 1) are all that is learned from: half of them, by a hash, may
     fill the dictionaries (``sample`` rows and ``size`` bytes a class at most), the other
-    half is counted in ``bins`` classes of the difference to fit the curve.  Rows with null
+    half is counted by classes of the difference (``bins`` to one) and of the size (100) to
+    fit the curve.  Rows with null
     or other labels are passed over; of contradicting labels the smaller one holds.  Null
     and empty texts have difference 0.  Every row gives one row.
     """
@@ -131,12 +140,13 @@ def quality_scores(
     spread = F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "x")) * bins) / bins
     counted = (
         found.join(known.filter("half = 1"), "id")
-        .groupBy(spread.alias("x"), "label")
+        .groupBy(spread.alias("x"), F.round("y", 2).alias("y"), "label")
         .agg(F.count("*").alias("n"))
         .collect()
     )
-    a, b = logistic([(r["x"], r["label"], r["n"]) for r in counted])
-    return found.select("id", (1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("x"))))).alias("score"))
+    a, b, c = logistic([(r["x"], r["y"], r["label"], r["n"]) for r in counted])
+    line = F.lit(a) + F.lit(b) * F.col("x") + F.lit(c) * F.col("y")
+    return found.select("id", (1 / (1 + F.exp(-line))).alias("score"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
