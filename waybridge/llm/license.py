@@ -25,7 +25,7 @@ SLACK = 3
 COVER = 0.75
 #: ... where the template has so many words; shorter ones differ by a word and must be whole
 WHOLE_BELOW = 8
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: phrases that must be found in full, wherever they stand
 BASE = (
     ("gnu general public license", "gpl"),
@@ -59,7 +59,8 @@ TEMPLATES = (
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(or_empty(text)), F.lit(WORD), F.lit(0))
+    """A-Z in lower case, cut at everything that is neither letter nor digit."""
+    return F.filter(F.split(lower_ascii(or_empty(text)), GAP), lambda w: w != "")
 
 
 def _grams(tokens: Column, k: int) -> Column:
@@ -89,50 +90,62 @@ def template_places(
     rows = spark.range(1, numPartitions=1).select(F.inline(values))
     cut = once(rows, c=words(F.col("t")))
     return cut.select(
-        "tpl", "label", "exact", F.size("c").alias("size"), F.explode(_grams(F.col("c"), k)).alias("g")
+        "tpl", "label", "exact", F.size("c").alias("size"), F.explode_outer(_grams(F.col("c"), k)).alias("g")
     ).select("tpl", "label", "exact", "size", F.col("g.pos").alias("place"), F.col("g.h").alias("h"))
 
 
-def license_spans(
+def license_hits(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     base: Sequence[tuple[str, str]] = BASE,
     templates: Sequence[tuple[str, str]] = TEMPLATES,
     k: int = K,
-    slack: int = SLACK,
-    cover: float = COVER,
 ) -> DataFrame:
-    """(id, th, tpl, label, exact, first, last, covered): verified spans of templates.
+    """(id, th, pos, tpl, label, exact, size, place): k-grams that some template has.
 
     ``th`` is the hash of the text, so that rows with one id and different texts stay
-    apart; repeated rows vote once.  ``first`` and ``last`` are word positions from 0,
-    ``covered`` the share of the template's words under the span's hits.  A base phrase counts in
-    full on one diagonal only, and so must templates of under 8 words.  Templates have at least k words.
+    apart.  One more row per document, without ``tpl``, has its number of words as
+    ``pos``.  Texts are read once, and only hits leave the scan.  Templates have k words at least.
     """
-    spark = docs.sparkSession
     listed = [(t, label, True) for t, label in base] + [(t, label, False) for t, label in templates]
-    places = F.broadcast(materialized(template_places(spark, listed, k), "templates"))
+    places = F.broadcast(materialized(template_places(docs.sparkSession, listed, k), "templates"))
     source = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")
     )
-    grams = (
+    none = F.lit(None).cast("long").alias("h")
+    count = F.array(F.struct(F.size("c").alias("pos"), none))
+    grams = F.concat(count, F.coalesce(_grams(F.col("c"), k), F.slice(count, 1, 0)))
+    spread = (
         once(source, c=words(F.col("text")))
-        .select("id", "th", F.explode(_grams(F.col("c"), k)).alias("g"))
+        .select("id", "th", F.explode_outer(grams).alias("g"))
         .select("id", "th", F.col("g.pos").alias("pos"), F.col("g.h").alias("h"))
     )
-    hits = (
-        grams.join(places, "h")
-        .select("id", "th", "tpl", "label", "exact", "size", "pos", "place", (F.col("pos") - F.col("place")).alias("d"))
-    )
-    # one row per place of a template on a diagonal: votes, and what they cover
-    votes = hits.groupBy("id", "th", "tpl", "label", "exact", "size", "d").agg(
-        F.collect_set("place").alias("at")
+    met = spread.join(places, "h", "left").filter(F.col("h").isNull() | F.col("tpl").isNotNull())
+    return met.select("id", "th", "pos", "tpl", "label", "exact", "size", "place")
+
+
+def license_spans(
+    hits: DataFrame, k: int = K, slack: int = SLACK, cover: float = COVER
+) -> DataFrame:
+    """(id, th, tpl, label, exact, first, last, covered): verified spans of ``license_hits``.
+
+    Repeated rows vote once.  ``first`` and ``last`` are word positions from 0, ``covered``
+    the share of the template's words under the span's hits.  A base phrase counts in
+    full on one diagonal only, and so must templates of under 8 words.
+    """
+    whole = F.col("exact") | (F.col("size") < WHOLE_BELOW)
+    # votes of a diagonal: one row per place of the template that was hit on it
+    votes = (
+        hits.filter(F.col("tpl").isNotNull())
+        .withColumn("d", F.col("pos") - F.col("place"))
+        .groupBy("id", "th", "tpl", "label", "exact", "size", "d")
+        .agg(F.collect_set("place").alias("at"))
     )
     near = W.partitionBy("id", "th", "tpl").orderBy("d")
-    # diagonals in order; a gap above the slack opens a new span, a base phrase always does
+    # diagonals in order; a gap above the slack opens a new span, a whole phrase always does
     spans = (
-        votes.withColumn("_new", F.coalesce(F.col("d") - F.lag("d").over(near) > slack, F.lit(True)) | F.col("exact") | (F.col("size") < WHOLE_BELOW))
+        votes.withColumn("_new", F.coalesce(F.col("d") - F.lag("d").over(near) > slack, F.lit(True)) | whole)
         .withColumn("_span", F.sum(F.col("_new").cast("int")).over(near))
         .groupBy("id", "th", "tpl", "label", "exact", "size", "_span")
         .agg(
@@ -148,23 +161,22 @@ def license_spans(
         spans.withColumn("last", F.col("_last") + (k - 1))
         .withColumn("covered", under / F.col("size"))
         .filter(
-            F.when(F.col("exact") | (F.col("size") < WHOLE_BELOW), F.size("at") == F.col("size") - (k - 1))
-            .otherwise(F.col("covered") >= cover)
+            F.when(whole, F.size("at") == F.col("size") - (k - 1)).otherwise(F.col("covered") >= cover)
         )
         .select("id", "th", "tpl", "label", "exact", "first", "last", "covered")
     )
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: words, places of base phrases, labels and a score.
 
     The score is the greatest share of a template covered, 0 without a span.  Every row
-    gives one row; null and empty texts have no words and no labels.  A long run of votes for
-    one template in one text is cut by diagonals, so what meets in a group is one text's hits.
+    gives one row; null and empty texts have no words and no labels.  What meets in a group is
+    one text's hits of one template.
     """
-    spans = license_spans(docs, id_col, text_col, **options)
+    hits = materialized(license_hits(docs, id_col, text_col), "hits")
     base = F.col("exact")
-    per_doc = spans.groupBy("id", "th").agg(
+    per_doc = license_spans(hits).groupBy("id", "th").agg(
         F.count_if(base).alias("n_base"),
         F.min(F.when(base, F.col("first"))).cast("long").alias("first_word"),
         F.max(F.when(base, F.col("first"))).cast("long").alias("last_word"),
@@ -172,11 +184,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"),
         F.least(F.max("covered"), F.lit(1.0)).alias("score"),
     ).withColumnsRenamed({"id": "_id", "th": "_th"})
-    plain = docs.select(
-        F.col(id_col).alias("id"),
-        F.xxhash64(text_col).alias("th"),
-        F.regexp_count(lower_ascii(or_empty(F.col(text_col))), F.lit(WORD)).cast("long").alias("n_words"),
-    )
+    plain = hits.filter(F.col("tpl").isNull()).select("id", "th", F.col("pos").cast("long").alias("n_words"))
     joined = plain.join(
         per_doc, plain["id"].eqNullSafe(per_doc["_id"]) & (plain["th"] == per_doc["_th"]), "left"
     )
