@@ -1,8 +1,8 @@
 """Benchmark items inside documents, also with other numbers, names or units.
 
 Texts become templates: a token with a digit is ``<num>``, a capitalised word inside a
-sentence ``<name>``, a unit of measure ``<unit>``; other tokens lose case and
-outer punctuation.  Windows of the templates are joined by hash.  Along one alignment of document
+sentence ``<name>``, a unit of measure ``<unit>``; other tokens lose outer punctuation, and
+A-Z their case.  Windows of the templates are joined by hash.  Along one alignment of document
 and item the values behind the placeholders must map one to one, so that a question with
 changed figures is found and a chance meeting of placeholders is not.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybridge.llm.common import copied_if_small, once, or_empty, read
+from waybridge.llm.common import copied_if_small, lower_ascii, once, or_empty, read
 from waybridge.session import materialized
 
 #: tokens of a window
@@ -39,12 +39,13 @@ def template(flat: Column) -> Column:
     """The template of a text whose white space is single blanks, but for units; tokens stay in place."""
     out = F.regexp_replace(flat, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<num>")
     out = F.regexp_replace(out, r"(?<=[^ .!?:] )(?=\p{Lu}\p{Ll})[^ ]+", "<name>")
-    out = F.lower(out)
-    # the first lookahead only spares the costlier look back at most places
-    out = F.regexp_replace(
-        out, rf"(?={_MARKS[:-1]})(?<=[\p{{L}}\p{{N}}>]){_MARKS}(?= |$)", ""
+    out = lower_ascii(out)
+    # the first lookahead only spares the costlier looks around at most places
+    return F.regexp_replace(
+        out,
+        rf"(?={_MARKS[:-1]})(?:(?<=[\p{{L}}\p{{N}}>]){_MARKS}(?= |$)|(?<![^ ]){_MARKS}(?=[\p{{L}}\p{{N}}<]))",
+        "",
     )
-    return F.regexp_replace(out, rf"(?={_MARKS[:-1]})(?<![^ ]){_MARKS}(?=[\p{{L}}\p{{N}}<])", "")
 
 
 def _tokens(flat: Column) -> Column:
@@ -72,7 +73,7 @@ def item_windows(bench: DataFrame, size: int = WINDOW) -> DataFrame:
     """(item, len, b, h): windows of the items in which at least half the tokens are words."""
     flat = spaced(or_empty(F.col("text")))
     items = once(bench, c=_template_tokens(flat), r=_tokens(flat)).withColumnRenamed("item_id", "item")
-    spread = items.select("item", "c", "r", F.explode(_windows(F.col("c"), size)).alias("w"))
+    spread = items.select("item", "c", "r", F.explode_outer(_windows(F.col("c"), size)).alias("w"))
     return spread.filter(
         F.size(_literal(F.slice("c", F.col("w.i"), size))) * 2 >= size
     ).select("item", "c", "r", F.col("w.i").alias("b"), F.col("w.h").alias("h"))
@@ -105,7 +106,7 @@ def contaminated(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th")
     ).filter(F.col("text").isNotNull())
     tokens = once(text, c=_template_tokens(spaced(F.col("text")))).select("id", "th", "c")
-    spread = tokens.select("id", "th", F.explode(_windows(F.col("c"), size)).alias("w")).select(
+    spread = tokens.select("id", "th", F.explode_outer(_windows(F.col("c"), size)).alias("w")).select(
         "id", "th", F.col("w.i").alias("i"), F.col("w.h").alias("h")
     )
     found = spread.join(copied_if_small(keys, copied_rows), "h", "left_semi")
@@ -113,6 +114,7 @@ def contaminated(
     hits = found.join(places, "h").groupBy("id", "th", "item", (F.col("i") - F.col("b")).alias("d")).agg(
         F.collect_set("b").alias("bs")
     )
+    hits = materialized(hits, "hits")
     enough = F.col("n") >= cover * F.col("item_windows")
     whole = (
         hits.groupBy("id", "th", "item")
@@ -124,7 +126,7 @@ def contaminated(
         hits["id"].eqNullSafe(whole["id"]), hits["th"] == whole["th"], hits["item"].eqNullSafe(whole["item"]),
     ]
     close = materialized(
-        hits.join(whole, same, "left_semi").select("id", "th", "item", "d", "bs"), "hits"
+        hits.join(whole, same, "left_semi").select("id", "th", "item", "d", "bs"), "close"
     )
     wanted = copied_if_small(close, copied_rows).withColumnRenamed("id", "hit_id")
     texts = text.join(
@@ -197,7 +199,7 @@ QUERIES = {"op8_decontaminate": op8_decontaminate}
 _CANON = (
     "list_transform(r, lambda x, i: case when regexp_matches(x, '[0-9]') then '<num>' "
     r"when i > 1 and r[i-1] <> '' and not regexp_matches(r[i-1], '[.!?:]$') and regexp_matches(x, '^\p{Lu}\p{Ll}') then '<name>' "
-    f"else regexp_replace(regexp_replace(lower(x), '([\\p{{L}}\\p{{N}}>]){_MARKS}$', '\\1'), '^{_MARKS}([\\p{{L}}\\p{{N}}<])', '\\1') end)"
+    f"else regexp_replace(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '([\\p{{L}}\\p{{N}}>]){_MARKS}$', '\\1'), '^{_MARKS}([\\p{{L}}\\p{{N}}<])', '\\1') end)"
 )
 _SIDE = f"""
 select k, r, list_transform(c, lambda x: case when regexp_matches(x, '^(?:{'|'.join(UNITS)})$') then '<unit>' else x end) as c
