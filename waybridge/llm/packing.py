@@ -7,6 +7,8 @@ shifted and merged once per piece, so the fullest sum is its highest bit.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +30,7 @@ def token_bytes(path: str | None):
     """A function from the UTF-8 bytes of a text to its ids, as little-endian 32-bit numbers.
 
     The vocabulary drops white space and never joins across it, so every run
-    between white space is encoded once per task and remembered.  Where it also cuts
+    between white space is encoded once per worker and remembered.  Where it also cuts
     between letters and a closing mark and ignores case, "Word," is put together
     from "word" and ",", which leaves far fewer strings to encode.
     """
@@ -44,9 +46,11 @@ def token_bytes(path: str | None):
     def coded(text: str) -> bytes:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    # a Python worker keeps what it has encoded for its next task
+    kept = sys.modules.setdefault("_encoded_words", types.ModuleType("_encoded_words"))
+    stems, known = kept.__dict__.setdefault(path, ({}, {}))
+
     apart = all(coded(f"Word{m}") == coded("word") + coded(m) for m in ".,")
-    stems: dict[str, bytes] = {}
-    known: dict[bytes, bytes] = {}
 
     def encode(text: str) -> bytes:
         found = stems.get(text)
