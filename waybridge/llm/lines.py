@@ -40,13 +40,14 @@ def boilerplate(
     """
     pages = docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))
     totals = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
-    line = F.explode(
+    line = F.explode_outer(
         F.array_distinct(
             F.transform(F.filter(_cut(F.col("text")), lambda l: F.trim(l) != ""), _names)
         )
     )
     counts = (
         pages.select("host", line.alias("line"))
+        .filter(F.col("line").isNotNull())
         .groupBy("host", "line")
         .agg(F.count("*").alias("pages"))
         .filter(F.col("pages") >= min_pages)
