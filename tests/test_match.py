@@ -47,7 +47,20 @@ def test_accessorials(spark):
     assert got["a", "layover"]["discrepancy_flag"] == "missing_accessorial"
     assert got["a", "layover"]["discrepancy_amount"] is None
     assert (got["a", "tarp"]["discrepancy_flag"], float(got["a", "tarp"]["discrepancy_amount"])) == ("extra_accessorial", 30)
-    assert got["a", "lumper"]["invoice_value"] == "20.00"
+    # differently written charges of one line add up
+    assert got["a", "lumper"]["invoice_value"] == "30.00"
+
+
+def test_no_billed_charge_is_lost(spark):
+    rows = [("a", "invoice", k, i, a) for i, (k, a) in enumerate(
+        [("chassis fee", "50"), ("toll", "20"), ("overnight stay", "80"), ("layover", "10"), ("", "5")])]
+    got = _run(spark, rows)
+    assert {k[1]: float(r["discrepancy_amount"]) for k, r in got.items() if r["discrepancy_amount"] is not None} == {
+        "chassis_fee": 50, "toll": 20, "layover": 90, "other": 5}
+    # of one written category the last one counts, or all are added up
+    again = [("a", "invoice", "toll", 0, "20"), ("a", "invoice", "Toll", 1, "7")]
+    assert _run(spark, again)["a", "toll"]["invoice_value"] == "7.00"
+    assert _run(spark, again, duplicates="sum")["a", "toll"]["invoice_value"] == "27.00"
 
 
 def test_first_linehaul_wins_and_fuel_falls_back(spark):

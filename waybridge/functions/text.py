@@ -85,8 +85,8 @@ def class_score(hits: Column, doc_type: str) -> Column:
 
 
 def header_type(header: Column) -> Column:
-    """Document type named by an upper-case page header, null when none is."""
-    chain = None
+    """Document type named by a page header in any case, null when none is."""
+    header, chain = F.upper(header), None
     for pattern, doc_type in vocab.HEADER_PATTERNS:
         hit = header.rlike(unicode_regex(pattern))
         chain = F.when(hit, doc_type) if chain is None else chain.when(hit, doc_type)

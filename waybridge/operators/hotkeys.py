@@ -16,6 +16,21 @@ from pyspark.sql import functions as F
 DEFAULT_SALTS = 64
 
 
+def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
+    """The right side with its keys set aside, and the condition that keys agree, null with null."""
+    aside = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same &= left[k].eqNullSafe(aside[f"_r_{k}"])
+    return aside, same
+
+
+def _meet(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys that keeps rows whose keys are null."""
+    aside, same = _same_keys(left, right, keys)
+    return left.join(aside, same).drop(*[f"_r_{k}" for k in keys])
+
+
 def salted(df: DataFrame, spread: Sequence[str], salts: int = DEFAULT_SALTS) -> DataFrame:
     return df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
 
@@ -31,7 +46,7 @@ def attach_per_key(
 
     ``aggs`` maps a new column to (aggregate over rows, function merging the
     partial results).  Rows meet their totals on (key, salt), so the largest
-    task sees 1/salts of the largest key.  Keys must not be null.
+    task sees 1/salts of the largest key.  Null keys are keys like any other.
     """
     rows = salted(df, spread, salts)
     partial = rows.groupBy(*keys, "_salt").agg(*[a.alias(n) for n, (a, _) in aggs.items()])
@@ -39,7 +54,7 @@ def attach_per_key(
     totals = partial.select(
         *keys, "_salt", *[merge(F.col(n)).over(per_key).alias(n) for n, (_, merge) in aggs.items()]
     )
-    return rows.join(totals, [*keys, "_salt"]).drop("_salt")
+    return _meet(rows, totals, [*keys, "_salt"]).drop("_salt")
 
 
 def lookup(
@@ -77,8 +92,7 @@ def previous_row(
         *keys, block, F.lag("_part").over(across).alias("_carry")
     )
     return (
-        df.withColumn("_near", F.lag(packed).over(inside))
-        .join(carry, [*keys, block])
+        _meet(df.withColumn("_near", F.lag(packed).over(inside)), carry, [*keys, block])
         .withColumn(name, F.coalesce("_near", "_carry"))
         .drop("_near", "_carry")
     )
@@ -105,9 +119,9 @@ def last_seen(
     carry = _summaries(marked, keys, block, latest).select(
         *keys, block, F.last("_part", ignorenulls=True).over(across).alias("_carry")
     )
+    near = marked.withColumn("_near", F.last("_value", ignorenulls=True).over(inside))
     return (
-        marked.withColumn("_near", F.last("_value", ignorenulls=True).over(inside))
-        .join(carry, [*keys, block])
+        _meet(near, carry, [*keys, block])
         .withColumn(name, F.coalesce("_near", "_carry"))
         .drop("_near", "_carry", "_value")
     )
@@ -123,9 +137,9 @@ def running_total(
     carry = _summaries(marked, keys, block, F.sum("_value")).select(
         *keys, block, F.coalesce(F.sum("_part").over(across), F.lit(0)).alias("_carry")
     )
+    near = marked.withColumn("_near", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
     return (
-        marked.withColumn("_near", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-        .join(carry, [*keys, block])
+        _meet(near, carry, [*keys, block])
         .withColumn(name, F.col("_near") + F.col("_carry"))
         .drop("_near", "_carry", "_value")
     )

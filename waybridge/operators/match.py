@@ -18,9 +18,11 @@ def shipment_key(account: str = "account_id", load_number: str = "load_number")
 
 
 def line_name(category: Column, side: Column, map_invoice: bool = True) -> Column:
-    """Match line a charge belongs to."""
+    """Match line a charge belongs to; a label outside the vocabulary is a line of its own."""
     plain = snake(category)
-    free = charge_type(category)
+    kind = charge_type(category)
+    own = snake(F.trim(category))
+    free = F.when((kind == "other") & (own != ""), own).otherwise(kind)
     if not map_invoice:
         free = F.when(side == "invoice", plain).otherwise(F.coalesce(category, F.lit("other")))
     return (
@@ -33,8 +35,9 @@ def line_name(category: Column, side: Column, map_invoice: bool = True) -> Colum
 def _charge_entries(charges: DataFrame, map_invoice: bool) -> DataFrame:
     """Charges with the order in which they compete for a line.
 
-    The first linehaul and fuel charge counts, of other charges the last one;
-    an explicit fuel surcharge goes before plain fuel.
+    The first linehaul and fuel charge counts; an explicit fuel surcharge goes before plain
+    fuel.  Of other charges the last one of each written category counts, and differently
+    written charges of one line add up.
     """
     line = line_name(F.col("category"), F.col("doc_type"), map_invoice)
     fixed = F.col("line_item").isin(vocab.SPINE_LINES)
@@ -44,6 +47,7 @@ def _charge_entries(charges: DataFrame, map_invoice: bool) -> DataFrame:
         .select(
             "shipment_id",
             "line_item",
+            F.when(~fixed, snake(F.trim("category"))).alias("written"),
             F.col("doc_type").alias("side"),
             F.col("amount").cast(_VALUE).alias("value"),
             F.when(snake(F.col("category")) == "fuel", 1).otherwise(0).alias("rank"),
@@ -62,6 +66,7 @@ def _quantity_entries(quantities: DataFrame) -> DataFrame:
     ).select(
         "shipment_id",
         "_q.line_item",
+        F.lit(None).cast("string").alias("written"),
         "side",
         "_q.value",
         F.lit(0).alias("rank"),
@@ -74,6 +79,7 @@ def _spine(shipments: DataFrame, names: list[str]) -> DataFrame:
     return shipments.select(
         "shipment_id",
         F.explode(lines).alias("line_item"),
+        F.lit(None).cast("string").alias("written"),
         F.lit(None).cast("string").alias("side"),
         F.lit(None).cast(_VALUE).alias("value"),
         F.lit(0).alias("rank"),
@@ -135,10 +141,15 @@ def _by_line(rows: DataFrame, duplicates: str) -> DataFrame:
             )
         return one.alias(side)
 
+    ranked = rows.withColumn("_turn", turn)
+    if duplicates == "sum":
+        return ranked.groupBy("shipment_id", "line_item").agg(*[chosen(s) for s in vocab.DOC_TYPES])
+    # first one amount per written category, then their sum; fixed lines have one category
     return (
-        rows.withColumn("_turn", turn)
-        .groupBy("shipment_id", "line_item")
+        ranked.groupBy("shipment_id", "line_item", "written")
         .agg(*[chosen(s) for s in vocab.DOC_TYPES])
+        .groupBy("shipment_id", "line_item")
+        .agg(*[F.sum(s).cast(_VALUE).alias(s) for s in vocab.DOC_TYPES])
     )
 
 

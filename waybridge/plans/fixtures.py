@@ -53,7 +53,11 @@ def charges(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey") % 5 != 0,
         F.struct(
             F.lit("invoice").alias("doc_type"),
-            pick(line, *INVOICE_LABELS).alias("category"),
+            F.when((line > 1) & (F.col("l_suppkey") % 9 == 0), "chassis fee")
+            .when((line > 1) & (F.col("l_suppkey") % 9 == 1), "Bridge Toll")
+            .when((line == 3) & (F.col("l_suppkey") % 9 < 5), "layover")
+            .otherwise(pick(line, *INVOICE_LABELS))
+            .alias("category"),
             money(price + extra).alias("amount"),
         ),
     )

@@ -61,7 +61,11 @@ select l_orderkey as shipment_id, 'rate_con' as doc_type,
   l_partkey as pos, cast(l_extendedprice as {D2}) as amount
 from lineitem where l_partkey % 7 <> 0
 union all
-select l_orderkey, 'invoice', {_case("(l_linenumber - 1) % 7", fx.INVOICE_LABELS)}, l_partkey,
+select l_orderkey, 'invoice',
+  case when (l_linenumber - 1) % 7 > 1 and l_suppkey % 9 = 0 then 'chassis fee'
+       when (l_linenumber - 1) % 7 > 1 and l_suppkey % 9 = 1 then 'Bridge Toll'
+       when (l_linenumber - 1) % 7 = 3 and l_suppkey % 9 < 5 then 'layover'
+       else {_case("(l_linenumber - 1) % 7", fx.INVOICE_LABELS)} end, l_partkey,
   cast(cast(l_extendedprice as {D2}) + cast({_case("l_suppkey % 4", ["0.00", "0.02", "0.03", "25.00"])} as {D2}) as {D2})
 from lineitem where l_partkey % 5 <> 0""")
 
@@ -71,14 +75,17 @@ select *, case lower(category)
     when 'detention charge' then 'detention' when 'detention' then 'detention'
     when 'layover' then 'layover' when 'overnight stay' then 'layover'
     when 'lumper fee' then 'lumper' when 'lumper' then 'lumper'
-    when 'stop-off' then 'stop_off' when 'extra stop' then 'stop_off' else 'tarp' end as line_item,
+    when 'stop-off' then 'stop_off' when 'extra stop' then 'stop_off' when 'tarp' then 'tarp' when 'tarping' then 'tarp'
+    else replace(replace(lower(category), ' ', '_'), '-', '_') end as line_item,
+  replace(replace(lower(category), ' ', '_'), '-', '_') as written,
   case when category = 'fuel' then 1 else 0 end as rk
 from f_charges""")
 
 part("f_picked", """
 select shipment_id, line_item,
-  max(amount) filter (where doc_type = 'rate_con') as rc, max(amount) filter (where doc_type = 'invoice') as inv
-from (select *, row_number() over (partition by shipment_id, line_item, doc_type
+  sum(amount) filter (where doc_type = 'rate_con') as rc, sum(amount) filter (where doc_type = 'invoice') as inv
+from (select *, row_number() over (partition by shipment_id, line_item, doc_type,
+          case when line_item in ('linehaul', 'fuel_surcharge') then '' else written end
         order by rk, case when line_item in ('linehaul', 'fuel_surcharge') then pos else -pos end, amount) as rn
       from f_lines)
 where rn = 1 group by shipment_id, line_item""")
@@ -157,7 +164,7 @@ select line_item, discrepancy_flag, count(*) as n, sum(discrepancy_amount) as am
       left join f_picked p on p.shipment_id = s.o_orderkey and p.line_item = s.line_item
       union all
       select line_item, rc, inv from (
-        select shipment_id, case when doc_type = 'invoice' then replace(category, ' ', '_') else category end as line_item,
+        select shipment_id, case when doc_type = 'invoice' then written else category end as line_item,
           sum(amount) filter (where doc_type = 'rate_con') as rc, sum(amount) filter (where doc_type = 'invoice') as inv
         from f_lines where line_item not in ('linehaul', 'fuel_surcharge') group by 1, 2)))
   union all

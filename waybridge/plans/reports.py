@@ -217,7 +217,17 @@ def result_documents(
         "page_start", "document_id", "doc_type", "fields", "document_confidence",
         "class_confidence",
     )
-    order = lambda a, b: F.when(a["page_start"] < b["page_start"], -1).otherwise(1)
+    def order(a: Column, b: Column) -> Column:
+        """By first page, then by id; equal entries compare as equal."""
+        out = F.lit(0)
+        for name in ("document_id", "page_start"):
+            out = (
+                F.when(a[name].eqNullSafe(b[name]), out)
+                .when(a[name].isNull() | (a[name] < b[name]), -1)
+                .otherwise(1)
+            )
+        return out
+
     listed = full.groupBy("job_id", part.alias("part_no")).agg(
         F.array_sort(F.collect_list(entry), order).alias("documents")
     )

@@ -19,13 +19,8 @@ CHILD_TABLES = {"documents": "job_id", "extracted_fields": "document_id", "revie
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table, spread over all cores when it has too few splits for them.
-
-    A table of real size has more splits than cores and is read as it is.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A Parquet table as it is; the session's file settings decide on its splits."""
+    return spark.read.parquet(path)
 
 
 def all_of(*conditions: Column | None) -> Column:
