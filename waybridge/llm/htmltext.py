@@ -99,12 +99,13 @@ def parse(html: str) -> list[tuple]:
             continue
         if name not in INLINE:
             out.append(("b", "", main > 0))
-        if m[1]:
-            out.append(("t", name, main > 0))
-            continue
-        if m[2]:
-            out.append(("t", name, main > 0))
-            close(name)
+        # inside an article, what is no content neither scores nor breaks the run
+        scores = not (aside and main)
+        if m[1] or m[2]:
+            if scores:
+                out.append(("t", name, main > 0))
+            if m[2]:
+                close(name)
             continue
         if name in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or name in MAIN:
             close("p")
@@ -124,7 +125,8 @@ def parse(html: str) -> list[tuple]:
             main += name in MAIN
             aside += noise
             links += name == "a"
-        out.append(("t", name, main > 0))
+        if scores:
+            out.append(("t", name, main > 0))
     # what looks like a cut-off tag at the end is markup, not text
     tail = html[at:]
     text(re.sub(r"<[!/?a-zA-Z][^>]*\Z", "", tail))
@@ -145,7 +147,7 @@ def learn_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
 
     The weight is the log odds that a token of this kind stands inside it; for a plain word
     at least 0.1, for a tag at most -0.1.  All pages are counted, in Spark; the table has one row per
-    feature.  Without labelled pages words weigh 1, everything else -1.
+    feature.  Without labelled pages words weigh 1, block tags -1 and tags in a line -0.1.
     """
 
     def work(batches: Iterator) -> Iterator:
@@ -184,6 +186,17 @@ def learn_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
     return {"w": 1.0} | out
 
 
+def score_of(token: tuple, weights: dict[str, float]) -> float:
+    """Score of a token; features that were not learned weigh little inside a line, else -1."""
+    kind, value, inside = token
+    if kind == "t":
+        rare = -0.1 if value in INLINE else -1.0
+        return weights.get(f"<{value if value in TAGS else '?'}>", rare)
+    if kind == "b" or kind == "n" and inside:
+        return 0.0
+    return len(value.split()) * weights.get(kind, -0.1 if kind == "l" else -1.0)
+
+
 def best_run(scores: list[float]) -> tuple[int, int]:
     """Start and end (exclusive) of the run with the greatest sum; the first, longest one on ties."""
     best, best_at, total, start = 0.0, (0, 0), 0.0, 0
@@ -200,15 +213,7 @@ def main_text(html: str, weights: dict[str, float]) -> str:
     import html as entities
 
     tokens = parse(html)
-    scores = []
-    for kind, value, _ in tokens:
-        if kind == "t":
-            scores.append(weights.get(f"<{value if value in TAGS else '?'}>", -1.0))
-        elif kind == "b":
-            scores.append(0.0)
-        else:
-            scores.append(len(value.split()) * weights.get(kind, -1.0))
-    start, end = best_run(scores)
+    start, end = best_run([score_of(t, weights) for t in tokens])
     blocks, current = [], []
     for kind, value, _ in tokens[start:end]:
         if kind == "b":

@@ -63,6 +63,8 @@ def counted(codes):
     import numpy as np
 
     codes = np.sort(codes)
+    if not len(codes):
+        return codes, codes
     edge = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
     return codes[edge], np.diff(np.append(edge, len(codes)))
 
