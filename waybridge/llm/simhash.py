@@ -22,7 +22,7 @@ RADIUS = 4
 #: fingerprints compared with one another in one step; larger buckets are cut into cells
 BLOCK = 1024
 #: words whose shingles meet in one step of the verification
-CELL_WORDS = 500_000
+CELL_WORDS = 200_000
 
 
 def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
