@@ -20,6 +20,8 @@ from waybridge.session import materialized
 #: candidates of a block, and queries of a block
 CANDIDATES = 4096
 QUERIES_AT_ONCE = 1024
+#: queries whose score arrays are filled together
+SCORED = 64
 SCALE = 64
 
 
@@ -78,13 +80,21 @@ def accumulate(query_terms, postings, n: int):
     import numpy as np
 
     scores = np.zeros((len(query_terms), n), query_terms.dtype)
+    added = np.empty_like(scores)
     for term, (where, weight) in enumerate(postings):
         if term >= query_terms.shape[1] or not len(where):
             continue
         own = query_terms[:, term]
         active = np.flatnonzero(own)
         if len(where) == n and len(active) == len(own):
-            scores += own[:, None] * weight[None, :]
+            np.multiply(own[:, None], weight[None, :], out=added)
+            scores += added
+        elif len(where) * 2 > n:
+            # mostly dense: zeros add nothing, and a plain pass costs less than a scatter
+            full = np.zeros(n, weight.dtype)
+            full[where] = weight
+            np.multiply(own[:, None], full[None, :], out=added)
+            scores += added
         elif len(where) == n:
             scores[active] += own[active, None] * weight[None, :]
         else:
@@ -155,11 +165,11 @@ def top_k(
                 block, asked = block.astype(kind), asked.astype(kind)
                 postings = [(np.flatnonzero(column), column[column != 0]) for column in block.T]
                 out_q, out_c, out_s = [], [], []
-                for start in range(0, len(q_ids), 128):
-                    scores = accumulate(asked[start : start + 128], postings, len(names))
+                for start in range(0, len(q_ids), SCORED):
+                    scores = accumulate(asked[start : start + SCORED], postings, len(names))
                     if kind is object:
                         scores = np.clip(scores, low, high).astype(np.int64)
-                    for own, line in zip(q_ids[start : start + 128], scores, strict=True):
+                    for own, line in zip(q_ids[start : start + SCORED], scores, strict=True):
                         line = line.astype(np.int64)
                         self_at = np.searchsorted(names, own)
                         free = np.ones(len(names), bool)
