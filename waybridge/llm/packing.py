@@ -22,17 +22,38 @@ END = 1
 VOCABULARY = "word_bpe_49k.json"
 #: pieces packed together; the number of groups follows the number of pieces
 GROUP = 32_768
-#: words whose ids one task remembers
-REMEMBERED = 300_000
+#: words of one generation of what a worker remembers; two generations are held
+REMEMBERED = 200_000
+#: bytes of text whose words are looked up together
+STEP_BYTES = 2_000_000
+#: words encoded by one call
+TOGETHER = 1_000
 
 
-def token_bytes(path: str | None):
-    """A function from the UTF-8 bytes of a text to its ids, as little-endian 32-bit numbers.
+class Recent:
+    """A bounded dictionary that forgets what has not been asked for since the last turn."""
+
+    def __init__(self, size: int = REMEMBERED) -> None:
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """The keys that are not known; all others are in ``young`` afterwards."""
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+        rest = keys - self.young.keys()
+        again = rest & self.old.keys()
+        self.young.update((k, self.old[k]) for k in again)
+        return list(rest - again)
+
+
+def encoder(path: str | None):
+    """A function from UTF-8 texts to their ids, each as little-endian 32-bit numbers.
 
     The vocabulary drops white space and never joins across it, so every run
     between white space is encoded once per worker and remembered.  Where it also cuts
     between letters and a closing mark and ignores case, "Word," is put together
-    from "word" and ",", which leaves far fewer strings to encode.
+    from "word" and ",", which leaves far fewer strings to encode.  New strings are
+    encoded many to a call, on lines of their own, and cut apart by the places of their tokens.
     """
     import numpy as np
     from tokenizers import Tokenizer
@@ -46,40 +67,63 @@ def token_bytes(path: str | None):
     def coded(text: str) -> bytes:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def coded_together(words: list[str]) -> list[bytes]:
+        found = tokenizer.encode("\n".join(words), add_special_tokens=False)
+        data = np.array(found.ids, "<u4").tobytes()
+        starts = np.array([o[0] for o in found.offsets], np.int64)
+        ends = np.cumsum([len(w) + 1 for w in words])
+        cut = [0, *(4 * np.searchsorted(starts, ends)).tolist()]
+        return [data[i:j] for i, j in zip(cut, cut[1:])]
+
     # a Python worker keeps what it has encoded for its next task
     kept = sys.modules.setdefault("_encoded_words", types.ModuleType("_encoded_words"))
-    stems, known = kept.__dict__.setdefault(path, ({}, {}))
+    stems, known = kept.__dict__.setdefault(path, (Recent(), Recent()))
 
     apart = all(coded(f"Word{m}") == coded("word") + coded(m) for m in ".,")
+    marks = {m: coded(m) for m in ".,"}
 
-    def encode(text: str) -> bytes:
-        found = stems.get(text)
-        if found is None:
-            if len(stems) > REMEMBERED:
-                stems.clear()
-            found = stems[text] = coded(text)
-        return found
-
-    def word(text: str) -> bytes:
-        if apart:
+    def parts(text: str) -> tuple[str, bytes]:
+        """The string to encode, and what follows it."""
+        # a final sigma depends on its neighbours in Python and not in the vocabulary
+        if apart and "\u03a3" not in text:
             if text.isalpha():
-                return encode(text.lower())
-            if text[-1] in ".," and text[:-1].isalpha():
-                return encode(text[:-1].lower()) + encode(text[-1])
-        return encode(text)
-
-    def ids(text: bytes) -> bytes:
-        words = text.split()
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = word(w.decode())
-        return b"".join(map(known.__getitem__, words))
+                return text.lower(), b""
+            if text[-1] in marks and text[:-1].isalpha():
+                return text[:-1].lower(), marks[text[-1]]
+        return text, b""
+
+    def learn(words: set[bytes]) -> None:
+        fresh = known.missing(words)
+        split = [parts(w.decode()) for w in fresh]
+        new = stems.missing({stem for stem, _ in split})
+        for i in range(0, len(new), TOGETHER):
+            some = new[i : i + TOGETHER]
+            stems.young.update(zip(some, coded_together(some), strict=True))
+        known.young.update(
+            (w, stems.young[stem] + tail) for w, (stem, tail) in zip(fresh, split, strict=True)
+        )
+
+    def ids(texts: list[bytes]) -> Iterator[bytes]:
+        at = 0
+        while at < len(texts):
+            some, size = [], 0
+            while at < len(texts) and (not some or size + len(texts[at]) <= STEP_BYTES):
+                some.append(texts[at].split())
+                size += len(texts[at])
+                at += 1
+            learn(set().union(*some))
+            for words in some:
+                yield b"".join(map(known.young.__getitem__, words))
 
     return ids
 
 
+def token_bytes(path: str | None):
+    """The same for one text at a time."""
+    encode = encoder(path)
+    return lambda text: next(encode([text]))
+
+
 def pieces(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -102,12 +146,12 @@ def pieces(
         import numpy as np
         import pyarrow as pa
 
-        encode = token_bytes(path)
+        encode = encoder(path)
         tail = np.array([end], "<u4").tobytes()
         for batch in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(byte_texts(batch.column(1))):
-                data = encode(text) + tail
+            for i, data in enumerate(encode(byte_texts(batch.column(1)))):
+                data += tail
                 for p, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     row.append(i)
