@@ -23,6 +23,8 @@ RADIUS = 4
 BLOCK = 1024
 #: words whose shingles meet in one step of the verification
 CELL_WORDS = 200_000
+#: bits of the table of shingles met twice, a power of two
+SLOTS = 2**26
 
 
 def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -191,46 +193,128 @@ def simhash_components(
     return prints.join(named.select("fp", "component"), "fp").select("id", "fp", "component")
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, families: int) -> DataFrame:
-    """(id, class, words, fps): exact class of the word sequence and its fingerprints."""
+def _class_name(words: list[bytes]) -> bytes:
+    import hashlib
+
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def _short(name: bytes) -> int:
+    """The first 64 bits of a class, the size that names a shingle, too."""
+    return int.from_bytes(name[:8], "little", signed=True)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, class, c, words): exact class of the word sequence and its short name."""
 
     def work(batches: Iterator) -> Iterator:
-        import hashlib
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = [t.translate(LOWER).split() for t in byte_texts(batch.column(1))]
+            names = [_class_name(words) for words in lists]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(names, pa.binary()),
+                    pa.array([_short(n) for n in names], pa.int64()),
+                    pa.array([len(words) for words in lists], pa.int64()),
+                ],
+                ["id", "class", "c", "words"],
+            )
+
+    source = texts(docs, id_col, text_col)
+    return source.mapInArrow(work, f"id {type_of(source, 'id')}, class binary, c long, words long")
+
 
+def _holders(docs: DataFrame, id_col: str, text_col: str, k: int, met_slots=None) -> DataFrame:
+    """(by, sh): the set of k-word shingles of every class, by its (c, size of the set).
+
+    A task gives a class once; several tasks may give it again.  With ``met_slots`` only
+    shingles whose slot is set come out; the size is that of the whole set.
+    """
+
+    def work(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        import xxhash
 
-        digest = xxhash.xxh64_intdigest
+        met: set[bytes] = set()
         for batch in batches:
-            names, sizes, fps = [], [], []
-            for text in byte_texts(batch.column(1)):
+            short, sizes, sets = [], [], []
+            for text in byte_texts(batch.column("text")):
                 words = text.translate(LOWER).split()
-                names.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
-                sizes.append(len(words))
-                seen = set(words)
-                fps.append(
-                    [
-                        majority(np.fromiter((digest(w, s) for w in seen), np.uint64, len(seen)))
-                        for s in range(42, 42 + families)
-                    ]
-                )
+                name = _class_name(words)
+                if name not in met:
+                    met.add(name)
+                    short.append(_short(name))
+                    own = np.unique(shingles(words, k, 42)).view(np.int64)
+                    sizes.append(len(own))
+                    if met_slots is not None:
+                        slot = own & (SLOTS - 1)
+                        own = own[(met_slots[slot >> 6] >> (slot & 63)) & 1 == 1]
+                    sets.append(own)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
-                    pa.array(names, pa.binary()),
+                    pa.array(short, pa.int64()),
                     pa.array(sizes, pa.int64()),
-                    pa.array(fps, pa.list_(pa.int64())),
+                    pa.array(sets, pa.list_(pa.int64())),
                 ],
-                ["id", "class", "words", "fps"],
+                ["c", "all", "sh"],
             )
 
-    source = texts(docs, id_col, text_col)
-    return source.mapInArrow(
-        work, f"id {type_of(source, 'id')}, class binary, words long, fps array<long>"
+    source = texts(docs, id_col, text_col).select("text")
+    return source.mapInArrow(work, "c long, all long, sh array<long>").select(
+        F.struct("c", "all").alias("by"), F.explode("sh").alias("sh")
     )
 
 
+def _met_slots(holders: DataFrame):
+    """Bits of the slots that hold a shingle given twice or more; ``SLOTS`` bits for any corpus.
+
+    Spares most shingles of one text alone the way to other tasks.  A full table spares none,
+    and no shared shingle is ever left out.
+    """
+    import numpy as np
+
+    # 40 bits travel cheaper than 64; two shingles alike in them count as met
+    again = holders.groupBy((F.col("sh").bitwiseAND(F.lit(2**40 - 1))).alias("h")).count().filter("count > 1")
+    slot = F.col("h").bitwiseAND(F.lit(SLOTS - 1))
+    words = again.groupBy(F.shiftright(slot, 6).alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")
+    ).toArrow()
+    out = np.zeros(SLOTS // 64, np.int64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return out
+
+
+def _prefix_links(holders: DataFrame, threshold: float) -> DataFrame:
+    """Edges (a, b) that connect every two texts ``c`` whose sets reach the threshold.
+
+    All shingles have one order, rare ones first.  If all but the last ``threshold`` of
+    each set, and one more, are its prefix, then two sets at the threshold share a shingle
+    of both prefixes, without exception.  A shingle of one text alone comes first and joins
+    nothing, so only shared ones travel; a text with too few of them has no partner at all.
+    """
+    shared = (
+        holders.groupBy("sh")
+        .agg(F.min("by").alias("low"), F.max("by").alias("high"), F.count("*").alias("df"))
+        .filter("low < high")
+        .select("sh", "df")
+    )
+    room = F.col("by.all") - F.ceil(F.col("by.all") * threshold - 1e-9) + 1
+    prefix = (
+        holders.join(shared, "sh")
+        .groupBy("by")
+        .agg(F.array_sort(F.collect_set(F.struct("df", "sh"))).alias("own"))
+        .withColumn("left", (room - (F.col("by.all") - F.size("own"))).cast("int"))
+        .filter("left > 0")
+        .select(F.col("by.c").alias("c"), F.explode(F.slice("own", F.lit(1), F.col("left"))["sh"]).alias("sh"))
+    )
+    prefix = materialized(prefix, "prefixes")
+    least = materialized(prefix.groupBy("sh").agg(F.min("c").alias("b")), "least")
+    return prefix.join(least, "sh").filter("b < c").select(F.col("c").alias("a"), "b").distinct()
+
+
 def _similar(sets: list, threshold: float) -> list[tuple[int, int]]:
     """Edges that join the sets linked by a Jaccard similarity of ``threshold`` or more."""
     import numpy as np
@@ -271,17 +355,14 @@ def near_duplicates(
     text_col: str = "text",
     k: int = 5,
     threshold: float = 0.8,
-    radius: int = RADIUS,
-    families: int = 3,
     cell_words: int = CELL_WORDS,
 ) -> DataFrame:
     """(id, class, group): groups of texts linked by shared k-word shingles.
 
     Two texts are linked if the Jaccard similarity of their sets of k-word shingles reaches
-    the threshold.  Candidates come from ``families`` independent fingerprints of a text's
-    set of words, each searched by covering hashing: a text with one word in fifty
-    changed keeps its fingerprints within a few bits, and a pair is missed only if all
-    families miss it.  Candidate components are then checked exactly: the shingle sets of a
+    the threshold.  Candidates are texts that share a shingle of their prefixes (see
+    ``_prefix_links``), so no pair at the threshold is missed.  Candidate components are then
+    checked exactly: the shingle sets of a
     component meet in cells of about ``2 * cell_words`` words, every two parts in one cell, and
     only edges that join linked texts come out.  Texts with the same words are one class
     from the start, so copies cost one row each.
@@ -291,37 +372,17 @@ def near_duplicates(
     """
     import numpy as np
 
-    seen = materialized(_classes(docs, id_col, text_col, families), "classes")
+    seen = materialized(_classes(docs, id_col, text_col), "classes")
     kinds = seen.groupBy("class").agg(
-        F.min("id").alias("least"), F.first("words").alias("words"), F.first("fps").alias("fps")
+        F.min("id").alias("least"), F.first("c").alias("c"), F.first("words").alias("words")
     )
     kinds = materialized(kinds, "kinds")
-    per_family = kinds.select("class", F.posexplode("fps").alias("family", "fp"))
-    links = covering_links(
-        per_family.select("family", "fp").distinct(), radius, extra=["family"]
+    slots = _met_slots(_holders(docs, id_col, text_col, k))
+    holders = materialized(_holders(docs, id_col, text_col, k, slots), "holders")
+    candidates = components(_prefix_links(holders, threshold))
+    placed = kinds.join(candidates.withColumnRenamed("node", "c"), "c").select(
+        "class", "least", "words", "root"
     )
-    # a node is a class or a (family, fingerprint); both are named by bytes
-    node = F.concat(F.lit("f"), F.col("family").cast("string"), F.lit(":"))
-    ends = links.select(
-        F.concat(node, F.col("a").cast("string")).alias("a"),
-        F.concat(node, F.col("b").cast("string")).alias("b"),
-    )
-    member = per_family.select(
-        F.hex("class").alias("a"), F.concat(node, F.col("fp").cast("string")).alias("b")
-    )
-    crowded = (
-        member.groupBy("b").agg(F.count("*").alias("n")).filter("n > 1").select("b")
-        .unionByName(ends.select("a").withColumnRenamed("a", "b"))
-        .unionByName(ends.select("b"))
-        .distinct()
-    )
-    candidates = components(ends.unionByName(member.join(crowded, "b").select("a", "b")))
-    placed = kinds.join(
-        candidates.select(F.unhex("node").alias("class"), "root").filter(
-            ~F.col("node").startswith("f") & (F.length("node") == 32)
-        ),
-        "class",
-    ).select("class", "least", "words", "root")
     placed = materialized(placed, "candidates")
     weight = (
         placed.groupBy("root")
@@ -332,8 +393,6 @@ def near_duplicates(
     chosen = placed.join(weight, "root").select("class", "least", "root", "nb")
 
     def sets(batches: Iterator) -> Iterator:
-        import hashlib
-
         import pyarrow as pa
 
         for batch in batches:
@@ -342,7 +401,7 @@ def near_duplicates(
             for row, (name, text) in enumerate(named):
                 words = text.translate(LOWER).split()
                 # an id may stand on other texts, too
-                if hashlib.blake2b(b" ".join(words), digest_size=16).digest() == name:
+                if _class_name(words) == name:
                     rows.append(row)
                     out.append(np.unique(shingles(words, k, 42)).view(np.int64))
             rest = batch.select(["class", "root", "nb"]).take(pa.array(rows, pa.int64()))
@@ -355,7 +414,7 @@ def near_duplicates(
         "class", "root", "nb", "text"
     )
     cells = (
-        whole.mapInArrow(sets, "class binary, root string, nb long, sh array<long>")
+        whole.mapInArrow(sets, "class binary, root long, nb long, sh array<long>")
         .withColumn("i", F.pmod(F.xxhash64("class"), F.col("nb")))
         .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         .groupBy("root", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"))
