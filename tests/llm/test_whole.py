@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from waybridge.llm import simhash
 
 
@@ -32,3 +33,20 @@ def test_no_pair_at_the_threshold_is_missed(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = dict(map(tuple, simhash.near_duplicates(df).select("id", "group").collect()))
     assert got == root
+
+
+def test_a_group_of_copies_keeps_the_text_of_its_survivor(spark):
+    """Two groups of copies above the ratio in one source, whose footer is boilerplate all the same."""
+
+    def text(i):
+        return "\n".join([*(f"line {j} of {i} says number {i * j}" for j in range(6)), "the footer"])
+
+    rows = [(i, text(0)) for i in range(30)] + [(i, text(1)) for i in range(30, 60)]
+    rows += [(i, text(i)) for i in range(60, 200)]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for stage in (corpus_pipeline.line_dedup, corpus_pipeline.near_dedup):
+        df = stage(spark, df, "")
+    kept = {r["doc_id"]: r["text"] for r in df.collect()}
+    assert kept[0] == text(0).removesuffix("\nthe footer")
+    assert kept[30] == text(1).removesuffix("\nthe footer")
+    assert all("footer" not in t for t in kept.values())

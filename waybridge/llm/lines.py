@@ -30,23 +30,26 @@ def boilerplate(
     text_col: str = "text",
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
+    copies: bool = True,
 ) -> DataFrame:
     """(host, line, pages, host_pages): lines on more than ``ratio`` of their host's pages.
 
     A line is trimmed of blanks; blank lines are none.  A page counts a line once.  Every
-    row is a page, repeated rows too; rows with a null text count as pages without lines,
+    row is a page, repeated rows too, unless ``copies`` is false: then rows of a host with the
+    same list of lines are one page, so that copies of one text do not make each
+    other boilerplate.  Rows with a null text count as pages without lines,
     and a null host is a host of its own.  A host has fewer than (mean lines per page) / ratio
     such lines, however many pages it has.
     """
-    pages = docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))
-    totals = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
-    line = F.explode_outer(
-        F.array_distinct(
-            F.transform(F.filter(_cut(F.col("text")), lambda l: F.trim(l) != ""), _names)
-        )
+    names = F.array_distinct(
+        F.transform(F.filter(_cut(F.col(text_col)), lambda l: F.trim(l) != ""), _names)
     )
+    pages = docs.select(F.col(host_col).alias("host"), names.alias("lines"))
+    if not copies:
+        pages = materialized(pages.distinct(), "pages")
+    totals = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
     counts = (
-        pages.select("host", line.alias("line"))
+        pages.select("host", F.explode_outer("lines").alias("line"))
         .filter(F.col("line").isNotNull())
         .groupBy("host", "line")
         .agg(F.count("*").alias("pages"))
@@ -66,6 +69,7 @@ def drop_boilerplate(
     text_col: str = "text",
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
+    copies: bool = True,
 ) -> DataFrame:
     """All rows and columns, with the boilerplate lines of the host taken out of the text.
 
@@ -74,7 +78,7 @@ def drop_boilerplate(
     all hosts are small enough for the optimizer to copy them; beyond, hosts meet
     their lists by a join that adaptive execution splits where one host is large.
     """
-    found = boilerplate(docs, host_col, text_col, ratio, min_pages)
+    found = boilerplate(docs, host_col, text_col, ratio, min_pages, copies)
     lists = materialized(
         found.groupBy("host").agg(F.collect_set("line").alias("_drop")), "boilerplate"
     ).withColumnRenamed("host", "_host")
