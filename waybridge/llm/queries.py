@@ -9,11 +9,13 @@ from waybridge.llm import (
     lines,
     packing,
     quality,
+    repair,
     search,
     simhash,
+    trie,
 )
 
-_MODULES = (license, classlm, htmltext, simhash, lines, quality, search, decontaminate, language, packing)
+_MODULES = (license, classlm, htmltext, simhash, lines, quality, search, decontaminate, language, packing, trie, repair)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
