@@ -24,6 +24,8 @@ GRAMMAR = (("C", ""), ("C", "B"), ("C", "sB"), ("B", "ua"), ("B", "Bua"))
 ROLES = {"u": "user", "a": "assistant"}
 KEEP, REROLE, DELETE, INSERT, CUT = 0, 3, 4, 3, 3
 END = "$"
+#: what takes any top at most to where another one is: a system turn deleted, a pair inserted
+DEAR = DELETE + 2 * INSERT
 #: decided rows are given out once so many rows wait for a decision
 WAITING = 512
 
@@ -145,6 +147,9 @@ def after_row(tops: dict, role: bytes, text: bytes, fault: str | None) -> dict:
         for symbol, name in ROLES.items():
             if new := _step(top, symbol, REROLE + cut, "R", name.encode(), text):
                 _put(out, new)
+    # a top that costs more than the way there from the cheapest one is on no best way
+    most = min(t.cost for t in out.values()) + DEAR
+    out = {state: top for state, top in out.items() if top.cost <= most}
     for rank, top in enumerate(sorted(out.values(), key=lambda t: (t.rank, t.since))):
         top.rank, top.since = rank, ""
     return out
