@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waybridge import vocab
-from waybridge.functions import display, replies, scoring, text, values
+from waybridge.functions import display, replies, scoring, sqlfunctions, text, values
 from waybridge.operators import (
     classify,
     confidence,
@@ -1250,6 +1250,46 @@ def redact_contacts(spark, d):
     )
 
 
+# --- SQL functions ------------------------------------------------------------------
+
+SCALARS = """
+SELECT l_orderkey AS order_key, l_linenumber AS line_no,
+  normalize_money(CASE l_linenumber % 4 WHEN 0 THEN concat('$', format_number(price, 2)) WHEN 1 THEN concat('(', price, ')')
+                  WHEN 2 THEN concat(price, ' cad') ELSE 'n/a' END) AS money,
+  money.amount AS total, money.currency AS currency,
+  normalize_weight(concat(quantity, ' kg')) AS kilos, normalize_weight(string(quantity), unit => 'oz') AS ounces,
+  normalize_date(date_format(l_shipdate, CASE l_suppkey % 3 WHEN 0 THEN 'MM/dd/yyyy' WHEN 1 THEN 'yyyy-MM-dd' ELSE 'MMMM d, yyyy' END)) AS day,
+  normalize_accessorial(CASE l_suppkey % 5 WHEN 0 THEN 'Detention charge' WHEN 1 THEN ' LUMPER ' WHEN 2 THEN '' WHEN 3 THEN 'chassis' END) AS charge,
+  match_line_item(price, CASE l_suppkey % 3 WHEN 0 THEN price WHEN 1 THEN price + 25 END) AS line,
+  line.discrepancy_flag AS flag, signed_dollars(line.discrepancy_amount) AS difference,
+  flag_label(flag) AS flag_label, has_discrepancies(array('none', flag)) AS differs,
+  score_field_confidence(CASE l_linenumber % 3 WHEN 0 THEN 'rule' WHEN 1 THEN 'ocr' ELSE 'llm_text' END,
+                         verification_agreed => l_linenumber % 2 = 0) AS field_score,
+  confidence_band(field_score) AS band,
+  score_document_confidence('bol', map('weight', field_score, 'remark', 0.6BD), 0.9BD) AS document,
+  document.document_confidence AS document_score, document.lowest_field AS lowest_field,
+  should_route_to_hitl(array(named_struct('doc_type', 'bol', 'document_confidence', document_score,
+                                          'fields', map('weight', field_score)))) AS routing,
+  size(routing.reasons) AS reasons, routing.needs_review AS needs_review,
+  classify_review_reason(routing.reasons) AS reason,
+  can_transition('pending', CASE l_suppkey % 2 WHEN 0 THEN 'in_review' ELSE 'resolved' END) AS may_move,
+  resolve_approved(CASE l_suppkey % 2 WHEN 0 THEN 'in_review' ELSE 'pending' END) AS moved,
+  moved.state AS state, moved.error AS error,
+  money_agrees(price, array(price - 1, 1.01BD + l_linenumber % 2, NULL)) AS sums_up,
+  array_join(missing_required('pod', array('signature_present', CASE WHEN l_linenumber > 3 THEN 'recipient_name' END)), ',') AS missing,
+  money_tolerance() AS tolerance
+FROM (SELECT *, CAST(l_extendedprice AS DECIMAL(12,2)) AS price, CAST(l_quantity AS INT) AS quantity FROM {lineitem})
+"""
+
+
+@query
+def sql_scalars(spark, d):
+    """The scalar operations called by name in a SQL query."""
+    sqlfunctions.register(spark)
+    lines = spark.sql(SCALARS, lineitem=fx.table(spark, d, "lineitem"))
+    return plain(lines.drop("money", "line", "document", "routing", "moved"))
+
+
 # --- evaluation ---------------------------------------------------------------------
 
 

@@ -359,6 +359,32 @@ select l_orderkey, l_partkey, l_suppkey, l_linenumber,
   case n when 3 then 'CAD' when 4 then 'MXN' else 'USD' end as currency_detected
 from (select l_orderkey, l_partkey, l_suppkey, l_linenumber, (l_orderkey + l_linenumber) % 8 as n,
         cast(l_extendedprice as {D2}) as p from lineitem)""")
+add("sql_scalars", f"""
+select order_key, line_no, cast(total as double) as total, currency, kilos, ounces, day, charge, flag,
+  case when flag = 'rate_delta' then '+$25.00' end as difference,
+  case flag {" ".join(f"when {_lit(k)} then {_lit(v)}" for k, v in vocab.FLAG_LABELS.items())} end as flag_label,
+  flag <> 'none' as differs, cast(score as double) as field_score,
+  case when score >= 0.7 then 'high' when score >= 0.6 then 'mid' else 'low' end as band,
+  cast(doc_score as double) as document_score,
+  case when score < 0.6 then 'weight' else 'remark' end as lowest_field,
+  cast((doc_score < 0.8)::int + (score < 0.7)::int as integer) as reasons, doc_score < 0.8 or score < 0.7 as needs_review,
+  'low_confidence' as reason,
+  l_suppkey % 2 = 0 as may_move, case when l_suppkey % 2 = 0 then 'resolved' else 'pending' end as state,
+  case when l_suppkey % 2 = 1 then {_lit("Cannot resolve from state 'pending'")} end as error,
+  line_no % 2 = 0 as sums_up,
+  case when line_no > 3 then 'delivery_date' else 'delivery_date,recipient_name' end as missing, 0.02::double as tolerance
+from (select *, least(floor((2 * (score * 1000)::bigint + 600) / 3 + 0.5)::bigint / 1000.0, 0.9) as doc_score from (
+  select l_orderkey as order_key, l_linenumber as line_no, l_suppkey,
+    case l_linenumber % 4 when 0 then price when 1 then -price when 2 then price end as total,
+    case when l_linenumber % 4 < 3 then 'USD' end as currency,
+    cast(round(quantity * 2.20462, 2) as double) as kilos, cast(round(quantity * 0.0625, 2) as double) as ounces,
+    strftime(l_shipdate, '%Y-%m-%d') as day,
+    case l_suppkey % 5 when 0 then 'detention' when 1 then 'lumper' else 'other' end as charge,
+    case l_suppkey % 3 when 0 then 'none' when 1 then 'rate_delta' else 'missing_accessorial' end as flag,
+    case l_linenumber % 3 when 0 then 0.99 when 1 then 0.85 else case when l_linenumber % 2 = 0 then 0.85 else 0.5 end end as score
+  from (select *, cast(l_extendedprice as {D2}) as price, cast(l_quantity as integer) as quantity from lineitem)))
+""")
+
 add("normalize_date", """
 select o_orderkey, strftime(case n when 9 then null
     when 6 then make_date(2000 + year(d) % 100, month(d), day(d))

@@ -21,7 +21,7 @@ def read_uploads(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFra
 
 def reject_code(length: Column, content: Column, limit: int = vocab.MAX_UPLOAD_BYTES) -> Column:
     """Why an upload is refused, null when it is accepted."""
-    magic = F.substring(content, 1, 4) != F.lit(bytearray(b"%PDF"))
+    magic = F.substring(content, 1, 4) != F.unhex(F.lit(b"%PDF".hex()))
     return (
         F.when(length == 0, "invalid_pdf")
         .when(length > limit, "file_too_large")
