@@ -221,6 +221,7 @@ SCAN_CHARS = 20
 MAX_UPLOAD_BYTES = 25 * 1024 * 1024
 RATE_LIMIT = 60
 RATE_WINDOW_SECONDS = 3600
+IDEMPOTENCY_WINDOW_SECONDS = 86_400
 CACHE_TTL_DAYS = 30
 BUDGET_CEILING_PCT = 90
 PROVIDER_DAILY_LIMITS = {"openrouter": 50, "gemini": 1500, "groq": 14400, "byok": 1000000}
