@@ -71,16 +71,12 @@ def test_pieces_of_long_texts_lose_nothing(spark, monkeypatch):
     finder = repeats.Finder(35)
     texts = _passages(7, 300)
     known = {(i, i): (t.encode(), 1) for i, t in enumerate(texts)}
-    windows = sorted(
-        (k1, lo + j)
-        for columns in finder.rows(known)
-        for kind, k1, _, lo, n, *_ in zip(*(c.tolist() for c in columns), strict=True)
-        if kind == repeats.REGION
-        for j in range(n)
-    )
-    # equal regions of a batch are named once, all others stand in one region each
-    assert len(windows) == len(set(windows))
-    assert {k for k, _ in windows} <= set(range(len(texts)))
+    rows = [r for columns in finder.rows(known) for r in zip(*(c.tolist() for c in columns), strict=True)]
+    # every window stands in one region, or in a range of regions that repeat in their batch
+    windows = sorted((r[1], r[2] + j) for r in rows if r[0] == repeats.COVERED or (r[0] == repeats.REGION and r[7] == 1) for j in range(r[3]))
+    long = [len(t.split()) for t in texts if len(t.split()) >= 35]
+    assert windows == [(i, p) for i, n in enumerate(long) for p in range(n - 34)]
+    assert sorted(r[8] for r in rows if r[0] == repeats.TEXT) == [i for i, t in enumerate(texts) if len(t.split()) >= 35]
 
 
 def test_rows_alike_and_null_ids_stay(spark):
@@ -105,8 +101,9 @@ def test_windows_that_are_equal_have_equal_anchors():
     starts = np.cumsum([0, *map(len, docs)])[:-1]
     first[starts] = True
     windows = np.array([s + i for s, d in zip(starts, docs, strict=True) for i in range(len(d) - 34)])
-    name, chosen = repeats.anchors(hashes, first, windows)
+    low, high, symbol = repeats.anchors(hashes, first, windows)
     seen = {}
-    for w, n, c in zip(windows, name.tolist(), chosen.tolist(), strict=True):
-        assert seen.setdefault(hashes[w : w + 35].tobytes(), (n, c >> 32)) == (n, c >> 32)
+    for w, *anchor, c in zip(windows.tolist(), (low - windows).tolist(), (high - windows).tolist(), symbol.tolist(), strict=True):
+        assert 0 <= anchor[0] < anchor[1] <= 35
+        assert seen.setdefault(hashes[w : w + 35].tobytes(), (anchor, c >> 32)) == (anchor, c >> 32)
     assert len(seen) < len(windows)

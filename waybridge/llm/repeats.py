@@ -9,8 +9,8 @@ that alone decide that it is there; a window of words that holds the context of
 holds that symbol wherever the window occurs.
 
 Each window takes the best symbol whose context it holds as its anchor, and neighbouring windows
-with one anchor make a region.  Three exchanges follow.  The first finds anchors whose name
-occurs again, which about a tenth of all regions have.  The second compares whole regions of
+with one anchor make a region.  Three exchanges follow.  The first finds anchors whose context
+occurs again.  The second compares whole regions of
 such anchors: equal ones are repeats as they stand.  Regions that share an anchor and differ
 lie at the ends of a repeat; the third compares their windows one by one.
 """
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybridge.llm.common import byte_texts, or_empty, read
+from waybridge.llm.common import byte_texts, read, texts
 from waybridge.llm.trie import _arrow, _batch
 from waybridge.session import materialized
 
@@ -35,7 +35,7 @@ PIECE = 1 << 16
 #: words compressed together
 TOGETHER = 1 << 18
 #: words whose hashes a worker remembers
-REMEMBERED = 1 << 20
+REMEMBERED = 200_000
 FAR = 1 << 60
 #: multipliers of the two rolling hashes
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -110,7 +110,7 @@ class Symbols:
 
 
 def anchors(hashes, first, windows, width: int = WINDOW):
-    """(name, round and place) of the anchor of each window that begins at ``windows``.
+    """(low, high, symbol): context and number of the anchor of each window that begins at ``windows``.
 
     The last round is asked first; of the symbols there with enough words the one with the
     smallest scrambled name is taken, the leftmost of equal ones.  A single word is
@@ -118,34 +118,33 @@ def anchors(hashes, first, windows, width: int = WINDOW):
     """
     import numpy as np
 
-    n = len(hashes)
-    places = np.arange(n, dtype=np.int64)
+    places = np.arange(len(hashes), dtype=np.int64)
     levels = [Symbols(hashes, places, places + 1, places, places + 1, first)]
     levels.append(levels[0].runs())
     while len(levels) < len(LEAST):
         levels.append(levels[-1].pairs(len(levels)))
-    name = np.zeros(len(windows), np.uint64)
-    chosen = np.zeros(len(windows), np.int64)
-    open_ = np.arange(len(windows))
+    low, high, symbol = (np.zeros(len(windows), np.int64) for _ in range(3))
+    left = np.arange(len(windows))
     for number, (least, level) in enumerate(zip(LEAST, levels[::-1], strict=True)):
         fit = (level.end - level.start >= least) & (level.low > -FAR) & (level.high < FAR)
         fit = np.flatnonzero(fit)
-        low, high, names = level.low[fit], level.high[fit], level.name[fit]
-        key = mixed(names ^ np.uint64(number)) & ~np.uint64(2**24 - 1) | np.arange(len(fit), dtype=np.uint64)
-        at = windows[open_]
-        a = np.searchsorted(low, at)
-        b = np.searchsorted(high, at + width, "right")
+        lows, highs = level.low[fit], level.high[fit]
+        key = mixed(level.name[fit] ^ np.uint64(number)) & ~np.uint64(2**24 - 1)
+        key |= np.arange(len(fit), dtype=np.uint64)
+        at = windows[left]
+        a = np.searchsorted(lows, at)
+        b = np.searchsorted(highs, at + width, "right")
         have = a < b
         if have.any():
             ends = np.stack([a[have], b[have]], 1).ravel()
             best = np.minimum.reduceat(np.append(key, key[-1:]), ends)[::2] & np.uint64(2**24 - 1)
             best = best.astype(np.int64)
-            name[open_[have]] = names[best]
-            chosen[open_[have]] = (number << 32) + fit[best]
-        open_ = open_[~have]
-        if not len(open_):
+            low[left[have]], high[left[have]] = lows[best], highs[best]
+            symbol[left[have]] = (number << 32) + fit[best]
+        left = left[~have]
+        if not len(left):
             break
-    return name, chosen
+    return low, high, symbol
 
 
 class Words:
@@ -205,9 +204,11 @@ class Rolling:
         return of
 
 
-#: kinds of rows: a region to compare, windows known to repeat
-REGION, COVERED = 0, 1
-FOUND = "kind int, k1 long, k2 long, lo int, n int, name long, r1 long, r2 long, copies int"
+#: kinds of rows: a region to compare, windows known to repeat, a text and its number
+REGION, COVERED, TEXT = 0, 1, 2
+FOUND = (
+    "kind int, text_no long, lo int, n int, name long, r1 long, r2 int, copies int, k1 long, k2 long"
+)
 
 
 def _as_long(x):
@@ -216,13 +217,27 @@ def _as_long(x):
     return x.astype(np.uint64).view(np.int64)
 
 
+def _grouped(*keys):
+    """(order, group, heads): rows sorted by keys, the group of each, and where groups begin."""
+    import numpy as np
+
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for key in keys:
+        ranked = key[order]
+        new[1:] |= ranked[1:] != ranked[:-1]
+    return order, np.cumsum(new) - 1, np.flatnonzero(new)
+
+
 class Finder:
     """Regions of texts with their anchors; equal ones of one batch are met here already."""
 
-    def __init__(self, width: int) -> None:
+    def __init__(self, width: int, base: int = 0) -> None:
         self.width, self.words, self.rolling = width, Words(), Rolling()
+        self.next = base
 
-    def rows(self, texts: dict[tuple, tuple[bytes, int]]) -> Iterator[tuple]:
+    def rows(self, texts: dict[tuple, tuple[bytes, int]]) -> Iterator[list]:
         """Columns of FOUND for {key: (text, copies)}."""
         pieces, size = [], 0
         for key, (text, copies) in texts.items():
@@ -232,11 +247,12 @@ class Finder:
             hashes = self.words.of(words)
             for at in range(0, len(words) - self.width + 1, PIECE):
                 part = hashes[at : at + PIECE + self.width - 1]
-                pieces.append((key, copies, at, part))
+                pieces.append((self.next, copies, at, part, key))
                 size += len(part)
                 if size >= TOGETHER:
                     yield self._found(pieces)
                     pieces, size = [], 0
+            self.next += 1
         if pieces:
             yield self._found(pieces)
 
@@ -252,47 +268,52 @@ class Finder:
         owner = np.repeat(np.arange(len(pieces)), counts)
         inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         windows = starts[owner] + inside
-        name, chosen = anchors(hashes, first, windows, self.width)
+        low, high, symbol = anchors(hashes, first, windows, self.width)
         new = np.ones(len(windows), bool)
-        new[1:] = (chosen[1:] != chosen[:-1]) | (owner[1:] != owner[:-1])
+        new[1:] = (symbol[1:] != symbol[:-1]) | (owner[1:] != owner[:-1])
         at = np.flatnonzero(new)
         n = np.append(at[1:], len(windows)) - at
-        start = windows[at]
-        r1, r2 = self.rolling.over(hashes)(start, start + n + self.width - 1)
-        own = owner[at]
+        start, own = windows[at], owner[at]
+        over = self.rolling.over(hashes)
+        # an anchor is named by all words of its context, which every window of its region holds
+        name = over(low[at], high[at])[0]
+        r1, r2 = over(start, start + n + self.width - 1)
+        r2 = (r2 >> np.uint64(32)).astype(np.uint32).view(np.int32)
         copies = np.array([p[1] for p in pieces])[own]
-        # equal regions of this batch
-        order = np.lexsort((n, r2, r1))
-        s1, s2, sn = r1[order], r2[order], n[order]
-        group = np.zeros(len(order), np.int64)
-        group[1:] = np.cumsum((s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1]) | (sn[1:] != sn[:-1]))
+        order, group, heads = _grouped(r1, r2, n)
         total = np.bincount(group, weights=copies[order]).astype(np.int64)
-        where = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(order))
-        kept = np.sort(order[where[:-1]])
         many = np.empty(len(order), np.int64)
         many[order] = total[group]
+        kept = np.sort(order[heads])
         base = np.array([p[2] for p in pieces])[own] + inside[at]
-        keys = np.array([p[0] for p in pieces], np.int64).reshape(-1, 2)[own]
+        number = np.array([p[0] for p in pieces])
         # neighbouring regions that repeat within the batch leave as one range
         sure = np.flatnonzero(many > 1)
         joint = np.ones(len(sure), bool)
         joint[1:] = (np.diff(sure) != 1) | (own[sure[1:]] != own[sure[:-1]])
-        head = np.flatnonzero(joint)
-        length = np.add.reduceat(n[sure], head) if len(sure) else np.zeros(0, np.int64)
-        sure = sure[head]
-        zero = np.zeros(len(sure), np.int64)
-        columns = [
-            np.append(np.full(len(kept), REGION), np.full(len(sure), COVERED)),
-            np.append(keys[kept, 0], keys[sure, 0]),
-            np.append(keys[kept, 1], keys[sure, 1]),
-            np.append(base[kept], base[sure]),
-            np.append(n[kept], length),
-            np.append(_as_long(name[at[kept]]), zero),
-            np.append(_as_long(r1[kept]), zero),
-            np.append(_as_long(r2[kept]), zero),
-            np.append(np.minimum(many[kept], 2), zero),
+        begins = np.flatnonzero(joint)
+        length = np.add.reduceat(n[sure], begins) if len(sure) else n[:0]
+        sure = sure[begins]
+        begun = [i for i, p in enumerate(pieces) if p[2] == 0]
+        keys = np.array([pieces[i][4] for i in begun], np.int64).reshape(-1, 2)
+        pad = len(sure) + len(begun)
+
+        def column(region, covered=0, text=0):
+            filled = (np.broadcast_to(x, m) for x, m in ((covered, len(sure)), (text, len(begun))))
+            return np.concatenate([np.broadcast_to(region, len(kept)), *filled])
+
+        return [
+            column(REGION, COVERED, TEXT),
+            column(number[own[kept]], number[own[sure]], number[begun]),
+            column(base[kept], base[sure]),
+            column(n[kept], length),
+            np.append(_as_long(name[kept]), np.zeros(pad, np.int64)),
+            np.append(_as_long(r1[kept]), np.zeros(pad, np.int64)),
+            np.append(r2[kept], np.zeros(pad, np.int32)),
+            column(np.minimum(many[kept], 2)),
+            column(0, 0, keys[:, 0]),
+            column(0, 0, keys[:, 1]),
         ]
-        return columns
 
 
 def text_key() -> list[Column]:
@@ -301,16 +322,20 @@ def text_key() -> list[Column]:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), or_empty(F.col(text_col)).alias("text"))
+    return texts(docs, id_col, text_col)
 
 
 def regions(rows: DataFrame, width: int = WINDOW) -> DataFrame:
-    """FOUND rows of a table (id, text)."""
+    """FOUND rows of a table (id, text).
+
+    Texts are numbered by task; written once, the numbers stand for the texts from then on.
+    """
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        finder = Finder(width)
+        finder = Finder(width, TaskContext.get().partitionId() << 32)
         schema = _arrow(**dict(p.split() for p in FOUND.split(",")))
         for batch in batches:
             keys = zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True)
@@ -325,33 +350,34 @@ def regions(rows: DataFrame, width: int = WINDOW) -> DataFrame:
 
 
 def compared(found: DataFrame) -> DataFrame:
-    """(k1, k2, kind, lo, n, copies): what is known of each text's windows.
+    """(text_no, kind, lo, n, copies): what is known of each text's windows.
 
     COVERED ranges repeat; of REGION ranges the windows have to be compared.  Counts are
     summed before they are shuffled, and joined to rows, which can be split, by name.
     """
     rows = found.filter(F.col("kind") == REGION)
     names = rows.groupBy("name").agg(F.sum("copies").alias("c")).filter("c > 1").select("name")
-    again = materialized(rows.join(names, "name", "left_semi"), "again")
+    at = ["text_no", "lo", "n"]
     same = ["name", "r1", "r2", "n"]
+    again = materialized(
+        rows.select("name", "r1", "r2", *at, "copies").join(names, "name", "left_semi"), "again"
+    )
     each = materialized(
         again.groupBy(*same).agg(
-            F.least(F.sum("copies"), F.lit(2)).cast("int").alias("total"),
-            F.min(F.struct("k1", "k2", "lo")).alias("one"),
+            F.least(F.sum("copies"), F.lit(2)).cast("int").alias("copies"),
+            F.min(F.struct("text_no", "lo")).alias("one"),
         ),
         "regions",
     )
     ends = each.groupBy("name").agg(F.count("*").alias("c")).filter("c > 1").select("name")
-    equal = again.join(each.filter("total > 1").select(*same), same, "left_semi")
-    sure = found.filter(F.col("kind") == COVERED).select("k1", "k2", "lo", "n").unionByName(
-        equal.select("k1", "k2", "lo", "n")
-    )
+    equal = again.join(each.filter("copies > 1").select(*same), same, "left_semi").select(*at)
+    sure = found.filter(F.col("kind") == COVERED).select(*at).unionByName(equal)
     differ = each.join(ends, "name", "left_semi").select(
-        "one.k1", "one.k2", F.lit(REGION).alias("kind"), "one.lo", "n", F.col("total").alias("copies")
+        "one.text_no", F.lit(REGION).alias("kind"), "one.lo", "n", "copies"
     )
     return sure.select(
-        "k1", "k2", F.lit(COVERED).alias("kind"), "lo", "n", F.lit(2).alias("copies")
-    ).distinct().unionByName(differ)
+        "text_no", F.lit(COVERED).alias("kind"), "lo", "n", F.lit(2).alias("copies")
+    ).unionByName(differ)
 
 
 def _covered(n: int, ranges, width: int):
@@ -382,6 +408,44 @@ def _outcome(text: bytes, ranges, width: int, form: str) -> tuple:
 DONE, WAITS, ASKED = 0, 1, 2
 
 
+class Asked:
+    """Windows of some texts that have to be compared; equal ones of a batch are met here already."""
+
+    def __init__(self, width: int) -> None:
+        self.width, self.words, self.rolling = width, Words(), Rolling()
+        self.parts: list[tuple] = []
+
+    def add(self, owner: int, words: list[bytes], lo: int, n: int, copies: int) -> None:
+        part = self.words.of(words[lo : lo + n + self.width - 1])
+        self.parts.append((owner, lo, copies, part))
+
+    def taken(self):
+        """(owner, lo, h1, h2, copies, repeats, speaks) of all windows added so far, as arrays.
+
+        ``repeats`` are windows met again here; one of equal windows ``speaks`` for them.
+        """
+        import numpy as np
+
+        parts, self.parts = self.parts, []
+        sizes = np.array([len(p[3]) for p in parts])
+        starts = np.cumsum(sizes) - sizes
+        counts = sizes - self.width + 1
+        of = np.repeat(np.arange(len(parts)), counts)
+        inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = starts[of] + inside
+        h1, h2 = self.rolling.over(np.concatenate([p[3] for p in parts]))(at, at + self.width)
+        copies = np.array([p[2] for p in parts])[of]
+        order, group, heads = _grouped(h1, h2)
+        total = np.bincount(group, weights=copies[order]).astype(np.int64)
+        many = np.empty(len(of), np.int64)
+        many[order] = total[group]
+        speaks = np.zeros(len(of), bool)
+        speaks[order[heads]] = True
+        owner = np.array([p[0] for p in parts])[of]
+        lo = np.array([p[1] for p in parts])[of] + inside
+        return owner, lo, _as_long(h1), _as_long(h2), np.minimum(many, 2), many > 1, speaks
+
+
 def drop_repeats(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -402,61 +466,88 @@ def drop_repeats(
     worker's memory does not grow with the length of a text beyond its words.
     """
     rows = _rows(docs, id_col, text_col)
-    known = compared(materialized(regions(rows, width), "found"))
-    ranges = known.groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "lo", "n", "copies")).alias("ranges"))
-    joined = rows.select("id", *text_key(), "text").join(ranges, ["k1", "k2"], "left")
+    found = materialized(regions(rows, width), "found")
+    numbers = found.filter(F.col("kind") == TEXT).select("text_no", "k1", "k2")
+    ranges = (
+        compared(found)
+        .join(numbers, "text_no")
+        # copies in other batches have other numbers and the same ranges
+        .groupBy("k1", "k2", "kind", "lo", "n", "copies")
+        .agg(F.min("text_no").alias("text_no"))
+        .groupBy("k1", "k2")
+        .agg(
+            F.collect_list(F.when(F.col("kind") == COVERED, F.struct("lo", "n"))).alias("sure"),
+            F.collect_list(F.when(F.col("kind") == REGION, F.struct("lo", "n", "copies"))).alias("asked"),
+            F.min("text_no").alias("text_no"),
+        )
+    )
+    joined = rows.select("id", *text_key(), "text").join(ranges, ["k1", "k2"], "left").drop("k1", "k2")
     id_type = rows.schema["id"].dataType.simpleString()
     kept = "string" if form == "sha256" else "binary"
     result = f"id {id_type}, n_words long, n_removed long, kept {kept}"
-    extra = "kind int, text binary, k1 long, k2 long, ranges binary, h1 long, h2 long, lo int, copies int"
+    extra = "kind int, text binary, text_no long, ranges binary, h1 long, h2 long, lo int, copies int"
 
     def met(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        words_of, rolling = Words(), Rolling()
-        out_schema = None
+        asked, schema = Asked(width), None
         for batch in batches:
-            if out_schema is None:
+            if schema is None:
                 fields = dict(p.split() for p in f"n_words long, n_removed long, kept {kept}, {extra}".split(","))
-                out_schema = pa.schema([pa.field("id", batch.schema.field("id").type), *_arrow(**fields)])
+                schema = pa.schema([pa.field("id", batch.schema.field("id").type), *_arrow(**fields)])
             texts = byte_texts(batch.column("text"))
-            columns = (batch.column(c).to_pylist() for c in ("id", "k1", "k2", "ranges"))
-            held, seen = [], set()
-            for key, k1, k2, own, text in zip(*columns, texts, strict=True):
-                sure = [(r["lo"], r["n"]) for r in own or () if r["kind"] == COVERED]
-                asked = [r for r in own or () if r["kind"] == REGION]
-                if all(r["copies"] > 1 for r in asked):
-                    held.append((key, *_outcome(text, sure, width, form), DONE, *[None] * 8))
+            sure, open_, seen = {}, {}, set()
+            for i, (ranges, questions, number) in enumerate(
+                zip(*(batch.column(c).to_pylist() for c in ("sure", "asked", "text_no")), strict=True)
+            ):
+                if ranges:
+                    sure[i] = [(r["lo"], r["n"]) for r in ranges]
+                if not questions:
+                    continue
+                if any(r["copies"] == 1 for r in questions):
+                    open_[i] = False
+                if number not in seen:
+                    seen.add(number)
+                    words = texts[i].split()
+                    for r in questions:
+                        asked.add(i, words, r["lo"], r["n"], r["copies"])
+            if asked.parts:
+                owner, lo, h1, h2, copies, repeats, speaks = asked.taken()
+                for i, p in zip(owner[repeats].tolist(), lo[repeats].tolist(), strict=True):
+                    if i in open_:
+                        sure.setdefault(i, []).append((p, 1))
+                for i in set(owner[~repeats].tolist()) & open_.keys():
+                    open_[i] = True
+                numbers = np.array([x or 0 for x in batch.column("text_no").to_pylist()])[owner[speaks]]
+                m = int(speaks.sum())
+                columns = {
+                    "kind": np.full(m, ASKED), "text_no": numbers, "h1": h1[speaks], "h2": h2[speaks],
+                    "lo": lo[speaks], "copies": copies[speaks],
+                }
+                arrays = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(m, f.type) for f in schema]
+                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+            held = []
+            ids, numbers = (batch.column(c).to_pylist() for c in ("id", "text_no"))
+            for i, (key, text, number) in enumerate(zip(ids, texts, numbers, strict=True)):
+                if open_.get(i):
+                    packed = np.array(sure.get(i, []), "<i4").tobytes()
+                    held.append((key, None, None, None, WAITS, text, number, packed, *[None] * 4))
                 else:
-                    packed = np.array(sure, "<i4").tobytes()
-                    held.append((key, None, None, None, WAITS, text, k1, k2, packed, *[None] * 4))
-                if asked and (k1, k2) not in seen:
-                    seen.add((k1, k2))
-                    words = text.split()
-                    for r in asked:
-                        part = words_of.of(words[r["lo"] : r["lo"] + r["n"] + width - 1])
-                        start = np.arange(r["n"])
-                        both = (_as_long(h).tolist() for h in rolling.over(part)(start, start + width))
-                        for i, (h1, h2) in enumerate(zip(*both, strict=True)):
-                            place = (k1, k2, None, h1, h2, r["lo"] + i, r["copies"])
-                            held.append((None, None, None, None, ASKED, None, *place))
-                if len(held) >= 4096:
-                    yield _batch(held, out_schema)
-                    held = []
-            if held:
-                yield _batch(held, out_schema)
+                    held.append((key, *_outcome(text, sure.get(i), width, form), DONE, *[None] * 7))
+            yield _batch(held, schema)
 
     state = materialized(joined.mapInArrow(met, f"{result}, {extra}"), "met")
     asked = state.filter(F.col("kind") == ASKED)
     twice = asked.groupBy("h1", "h2").agg(F.sum("copies").alias("c")).filter("c > 1").select("h1", "h2")
     places = (
         asked.filter("copies = 1")
+        .select("h1", "h2", "text_no", "lo")
         .join(twice, ["h1", "h2"], "left_semi")
-        .groupBy("k1", "k2")
+        .groupBy("text_no")
         .agg(F.collect_list("lo").alias("more"))
     )
-    waits = state.filter(F.col("kind") == WAITS).select("id", "text", "k1", "k2", "ranges")
+    waits = state.filter(F.col("kind") == WAITS).select("id", "text", "text_no", "ranges")
 
     def finished(batches: Iterator) -> Iterator:
         import numpy as np
@@ -472,7 +563,7 @@ def drop_repeats(
                 held.append((key, *_outcome(text, ranges, width, form)))
             yield _batch(held, schema)
 
-    late = waits.join(places, ["k1", "k2"], "left").select("id", "text", "ranges", "more").mapInArrow(finished, result)
+    late = waits.join(places, "text_no", "left").select("id", "text", "ranges", "more").mapInArrow(finished, result)
     done = state.filter(F.col("kind") == DONE).select("id", "n_words", "n_removed", "kept")
     return done.unionByName(late).withColumn("kept", F.col("kept").cast("string"))
 
