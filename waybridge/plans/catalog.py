@@ -1408,6 +1408,13 @@ def stream_dedup(spark, d):
     )
 
 
+@query
+def stream_answers(spark, d):
+    """Every submission with the job that answers it, over a stream."""
+    answers = streams.answered_submissions(fx.jobs_of(_event_stream(spark, d)))
+    return streams.run_to_end(answers, "answers").drop("batch_id")
+
+
 @query
 def stream_rate_limit(spark, d):
     limited = streams.limited_submissions(fx.submissions_of(_event_stream(spark, d)), limit=1)

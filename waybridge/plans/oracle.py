@@ -48,7 +48,11 @@ def add(name: str, body: str) -> None:
                 needed.add(p)
                 queue.append(PARTS[p])
     ctes = ",\n".join(f"{p} as ({PARTS[p]})" for p in PARTS if p in needed)
-    SQL[name] = (f"with {ctes}\n" if ctes else "") + body
+    own = "with recursive "
+    if ctes and body.lstrip().startswith(own):
+        SQL[name] = f"{own}{ctes},\n{body.lstrip().removeprefix(own)}"
+    else:
+        SQL[name] = (f"with {ctes}\n" if ctes else "") + body
 
 
 D2 = "decimal(12,2)"
@@ -959,4 +963,29 @@ _add_fold("stream_review", "select item_id, action_id, state_before, accepted fr
 add("stream_usage", f"select {_USAGE} from f_usage")
 add("stream_dedup", """
 select account_id, idempotency_key, case when idempotency_key is null then count(*) end as free_rows from f_jobs group by account_id, idempotency_key""")
+add("stream_answers", """
+with recursive jobs as (select job_id, account_id, idempotency_key as key, created_at as tm from f_jobs where idempotency_key is not null),
+owners as (
+  select account_id, key, min({'tm': tm, 'job': job_id}) as owner from jobs group by 1, 2
+  union all
+  select o.account_id, o.key, min({'tm': j.tm, 'job': j.job_id}) from owners o
+  join jobs j on j.account_id = o.account_id and j.key = o.key and j.tm >= o.owner.tm + interval 24 hour group by 1, 2)
+select j.job_id, j.account_id, j.key as idempotency_key, max(o.owner).job as answer_job_id, max(o.owner).job <> j.job_id as idempotent_replay
+from jobs j join owners o on j.account_id = o.account_id and j.key = o.key and o.owner <= {'tm': j.tm, 'job': j.job_id}
+group by 1, 2, 3
+union all
+select job_id, account_id, null, job_id, false from f_jobs where idempotency_key is null""")
+add("rate_limit_accepted_two", """
+with recursive s as (
+  select user_id as account_id, event_id as submission_id, {'us': epoch_us(ts::timestamp), 'id': event_id} as tm from events),
+taken as (
+  select account_id, min(tm) as now, null::bigint as before from s group by 1
+  union all
+  select t.account_id, min(s.tm), any_value(t.now.us) from taken t join s on s.account_id = t.account_id
+    and s.tm > t.now and (t.before is null or s.tm.us >= t.before + 21600000000) group by 1),
+seen as (
+  select s.account_id, s.submission_id, s.tm, max(case when t.now = s.tm then 1 else 0 end) = 1 as accepted,
+    list(t.now.us order by t.now desc) filter (where t.now <= s.tm) as used
+  from s join taken t on t.account_id = s.account_id and t.now <= s.tm group by 1, 2, 3)
+select account_id, submission_id, accepted, case when accepted then 0 else (used[2] + 21600000000 - tm.us) // 1000000 + 1 end as retry_after from seen""")
 add("stream_arrivals", "select (document_id - 1) // 2 as document_id, doc_type, top_score, needs_model from f_class where document_id % 2 = 1")
