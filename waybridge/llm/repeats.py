@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 
 from waybridge.llm.common import byte_texts, read, texts
 from waybridge.llm.trie import _arrow, _batch
-from waybridge.session import materialized
+from waybridge.session import durable_dir
 
 #: words of a window
 WINDOW = 35
 #: least words of an anchor, by rounds of recompression from the last to none
-LEAST = (7, 6, 4, 3, 2, 1, 1)
+LEAST = (1, 1, 1, 1, 1)
 #: windows of one piece of a text; pieces overlap, so nothing is lost between them
 PIECE = 1 << 16
 #: words compressed together
@@ -316,6 +316,13 @@ class Finder:
         ]
 
 
+def _written(df: DataFrame, purpose: str) -> DataFrame:
+    """A table in the shared folder, packed tightly: most of it are texts or small numbers."""
+    path = durable_dir(df.sparkSession, purpose)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_key() -> list[Column]:
     """128 bits that stand for a text."""
     return [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2")]
@@ -359,10 +366,20 @@ def compared(found: DataFrame) -> DataFrame:
     names = rows.groupBy("name").agg(F.sum("copies").alias("c")).filter("c > 1").select("name")
     at = ["text_no", "lo", "n"]
     same = ["name", "r1", "r2", "n"]
-    again = materialized(
-        rows.select("name", "r1", "r2", *at, "copies").join(names, "name", "left_semi"), "again"
+    # a region has at most as many windows as a window has words, so three numbers fit in one
+    place = F.col("lo").cast("long") * (1 << 16) + F.col("n") * 2 + (F.col("copies") - 1)
+    again = _written(
+        rows.select("name", "r1", "r2", "text_no", place.alias("place"))
+        .join(names, "name", "left_semi")
+        .select(
+            "name", "r1", "r2", "text_no",
+            F.shiftright("place", 16).cast("int").alias("lo"),
+            (F.shiftright("place", 1) % (1 << 15)).cast("int").alias("n"),
+            (F.col("place") % 2 + 1).cast("int").alias("copies"),
+        ),
+        "again",
     )
-    each = materialized(
+    each = _written(
         again.groupBy(*same).agg(
             F.least(F.sum("copies"), F.lit(2)).cast("int").alias("copies"),
             F.min(F.struct("text_no", "lo")).alias("one"),
@@ -466,7 +483,7 @@ def drop_repeats(
     worker's memory does not grow with the length of a text beyond its words.
     """
     rows = _rows(docs, id_col, text_col)
-    found = materialized(regions(rows, width), "found")
+    found = _written(regions(rows, width), "found")
     numbers = found.filter(F.col("kind") == TEXT).select("text_no", "k1", "k2")
     ranges = (
         compared(found)
@@ -537,7 +554,7 @@ def drop_repeats(
                     held.append((key, *_outcome(text, sure.get(i), width, form), DONE, *[None] * 7))
             yield _batch(held, schema)
 
-    state = materialized(joined.mapInArrow(met, f"{result}, {extra}"), "met")
+    state = _written(joined.mapInArrow(met, f"{result}, {extra}"), "met")
     asked = state.filter(F.col("kind") == ASKED)
     twice = asked.groupBy("h1", "h2").agg(F.sum("copies").alias("c")).filter("c > 1").select("h1", "h2")
     places = (
