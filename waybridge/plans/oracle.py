@@ -635,12 +635,16 @@ part("f_proposed", """
 select conv_id as job_id, page_start, page_end, doc_type, 0.7::double as confidence, 'llm' as method
 from conversations cross join (values (1, 2, 'bol'), (3, 4, 'unknown')) as v(page_start, page_end, doc_type)
 where turn = 0 and conv_id % 4 in (0, 1)""")
+part("f_clipped", """
+select job_id, greatest(page_start, 1) as page_start, least(page_end, pages) as page_end, doc_type, confidence, method
+from f_proposed join (select job_id, max(page_no) as pages from f_header_pages group by job_id) using (job_id)
+where page_start <= pages""")
 part("f_choice", """
 select job_id, case when pages <= 1 then 'single' when headers > 1 then 'header' when layouts > 1 then 'layout' when models > 1 then 'llm' else 'header' end as choice
 from (select job_id, max(page_no) as pages from f_header_pages group by job_id)
 left join (select job_id, count(*) as headers from f_header_cut group by job_id) using (job_id)
 left join (select job_id, count(*) as layouts from f_layout_cut group by job_id) using (job_id)
-left join (select job_id, count(*) as models from f_proposed group by job_id) using (job_id)""")
+left join (select job_id, count(*) as models from f_clipped group by job_id) using (job_id)""")
 add("split_header", "select * from f_header_cut")
 add("split_header_repeat", _header_cut("header_type is not null"))
 add("split_layout", "select * from f_layout_cut")
@@ -651,7 +655,7 @@ select job_id, page_start, page_end, case when choice = 'single' then 'unknown'
 from f_choice join (
   select job_id, page_start, page_end, doc_type, confidence, method from f_header_cut
   union all select job_id, page_start, page_end, coalesce(header_type, 'unknown'), case when header_type is not null then 0.6::double else confidence end, 'layout' from f_layout_cut
-  union all select * from f_proposed) using (job_id)
+  union all select * from f_clipped) using (job_id)
 where method = choice or (choice = 'single' and method = 'header')""")
 add("layout_features", """
 select job_id, page_no::integer as page_no,
