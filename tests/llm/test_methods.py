@@ -228,3 +228,24 @@ def test_words_encode_as_the_whole_text_does(text):
     tokenizer, encode = test_words_encode_as_the_whole_text_does.pair
     want = tokenizer.encode(text, add_special_tokens=False).ids
     assert encode(text.encode()) == np.array(want, "<u4").tobytes()
+
+
+def test_encoding_of_cased_and_combining_characters_equals_the_tokenizer():
+    import random
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from waybridge.llm import packing
+
+    rnd = random.Random(3)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    encode = packing.encoder(None)
+    pool = [*"abcXYZ.,'!?019-éÉßİıΣσςÅåñ́̇̀ǅﬁ漢字ा　½²ªºⅧ_", "'s", "'LL", " ", "\n", "\t", "  "]
+    texts = ["".join(rnd.choices(pool, k=rnd.randrange(1, 9))) for _ in range(50_000)] + ["İ.", "İ,\n", "Word.", "á."]
+    for i in range(0, len(texts), 2_000):
+        some = texts[i : i + 2_000]
+        for text, got in zip(some, encode([t.encode() for t in some]), strict=True):
+            want = tokenizer.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(got, "<u4").tolist() == want, repr(text)

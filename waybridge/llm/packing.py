@@ -46,41 +46,67 @@ class Recent:
         return list(rest - again)
 
 
-def encoder(path: str | None):
-    """A function from UTF-8 texts to their ids, each as little-endian 32-bit numbers.
+class Vocabulary:
+    """A tokenizer with what a worker remembers of it; a worker keeps it for its next tasks."""
 
-    The vocabulary drops white space and never joins across it, so every run
-    between white space is encoded once per worker and remembered.  Where it also cuts
-    between letters and a closing mark and ignores case, "Word," is put together
-    from "word" and ",", which leaves far fewer strings to encode.  New strings are
-    encoded many to a call, on lines of their own, and cut apart by the places of their tokens.
-    """
-    import numpy as np
-    from tokenizers import Tokenizer
+    def __init__(self, path: str) -> None:
+        import numpy as np
+        from tokenizers import Tokenizer
 
-    if path is None:
-        import public_tokenizers
+        self.tokenizer = Tokenizer.from_file(path)
+        self.stems, self.known = Recent(), Recent()
+        self.apart = all(self.coded(f"Word{m}") == self.coded("word") + self.coded(m) for m in ".,")
+        self.marks = {m: self.coded(m) for m in ".,"}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-        path = public_tokenizers.path(VOCABULARY)
-    tokenizer = Tokenizer.from_file(path)
+    def coded(self, text: str) -> bytes:
+        import numpy as np
 
-    def coded(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def coded_together(words: list[str]) -> list[bytes]:
-        found = tokenizer.encode("\n".join(words), add_special_tokens=False)
+    def together(self, words: list[str]) -> list[bytes]:
+        """The ids of words that are encoded as lines of one text, by the places of the tokens."""
+        import numpy as np
+
+        found = self.tokenizer.encode("\n".join(words), add_special_tokens=False)
         data = np.array(found.ids, "<u4").tobytes()
         starts = np.array([o[0] for o in found.offsets], np.int64)
         ends = np.cumsum([len(w) + 1 for w in words])
         cut = [0, *(4 * np.searchsorted(starts, ends)).tolist()]
         return [data[i:j] for i, j in zip(cut, cut[1:])]
 
-    # a Python worker keeps what it has encoded for its next task
-    kept = sys.modules.setdefault("_encoded_words", types.ModuleType("_encoded_words"))
-    stems, known = kept.__dict__.setdefault(path, (Recent(), Recent()))
+    def letters(self, words: list[str]) -> list[bytes]:
+        """The same for words of letters, whose last token alone ends a word: no places are needed."""
+        import numpy as np
+
+        found = self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0]
+        ids = np.array(found.ids, "<u4")
+        at = np.flatnonzero(self.ends[ids]) + 1
+        if len(at) != len(words):
+            return self.together(words)
+        data, cut = ids.tobytes(), [0, *(4 * at).tolist()]
+        return [data[i:j] for i, j in zip(cut, cut[1:])]
+
+
+def encoder(path: str | None):
+    """A function from UTF-8 texts to their ids, each as little-endian 32-bit numbers.
 
-    apart = all(coded(f"Word{m}") == coded("word") + coded(m) for m in ".,")
-    marks = {m: coded(m) for m in ".,"}
+    The vocabulary drops white space and never joins across it, so every run
+    between white space is encoded once per worker and remembered.  Where it also cuts
+    between letters and a closing mark and ignores case, "Word," is put together
+    from "word" and ",", which leaves far fewer strings to encode.  New strings are
+    encoded many to a call, on lines of their own, and cut apart afterwards.
+    """
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(VOCABULARY)
+    # a Python worker keeps what it has encoded, bounded by REMEMBERED, for its next task
+    kept = sys.modules.setdefault("_encoded_words", types.ModuleType("_encoded_words")).__dict__
+    vocabulary = kept.get(path) or kept.setdefault(path, Vocabulary(path))
+    apart, marks, stems, known = vocabulary.apart, vocabulary.marks, vocabulary.stems, vocabulary.known
 
     def parts(text: str) -> tuple[str, bytes]:
         """The string to encode, and what follows it."""
@@ -88,17 +114,22 @@ def encoder(path: str | None):
         if apart and "\u03a3" not in text:
             if text.isalpha():
                 return text.lower(), b""
-            if text[-1] in marks and text[:-1].isalpha():
-                return text[:-1].lower(), marks[text[-1]]
+            if text[-1] in marks:
+                # lower case may end in a mark that joins what follows
+                stem = text[:-1].lower()
+                if stem.isalpha() and text[:-1].isalpha():
+                    return stem, marks[text[-1]]
         return text, b""
 
     def learn(words: set[bytes]) -> None:
         fresh = known.missing(words)
         split = [parts(w.decode()) for w in fresh]
         new = stems.missing({stem for stem, _ in split})
-        for i in range(0, len(new), TOGETHER):
-            some = new[i : i + TOGETHER]
-            stems.young.update(zip(some, coded_together(some), strict=True))
+        plain = [w for w in new if w.isalpha()]
+        others = [w for w in new if not w.isalpha()]
+        for some, code in ((plain, vocabulary.letters), (others, vocabulary.together)):
+            for i in range(0, len(some), TOGETHER):
+                stems.young.update(zip(some[i : i + TOGETHER], code(some[i : i + TOGETHER]), strict=True))
         known.young.update(
             (w, stems.young[stem] + tail) for w, (stem, tail) in zip(fresh, split, strict=True)
         )
