@@ -7,7 +7,9 @@ of change sets are unique unless a function says otherwise.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
+from graphlib import TopologicalSorter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,23 @@ from pyspark.sql import functions as F
 from waybridge import vocab
 from waybridge.operators.hotkeys import attach_per_key
 
-CHILD_TABLES = {"documents": "job_id", "extracted_fields": "document_id", "review_queue": "job_id"}
+
+@dataclass(frozen=True)
+class ForeignKey:
+    """Rows of ``child`` go with the row of ``parent`` whose key they name."""
+
+    child: str
+    column: str
+    parent: str
+    parent_column: str
+
+
+FOREIGN_KEYS = (
+    ForeignKey("documents", "job_id", "jobs", "job_id"),
+    ForeignKey("extracted_fields", "document_id", "documents", "document_id"),
+    ForeignKey("review_queue", "job_id", "jobs", "job_id"),
+    ForeignKey("match_results", "shipment_id", "shipments", "shipment_id"),
+)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -51,17 +69,47 @@ def delete_rows(table: DataFrame, doomed: DataFrame, on: Sequence[str]) -> DataF
     return table.join(doomed.select(*on).distinct(), list(on), "left_anti")
 
 
+def delete_cascade(
+    tables: dict[str, DataFrame],
+    doomed: dict[str, tuple[str, DataFrame]],
+    foreign_keys: Sequence[ForeignKey] = FOREIGN_KEYS,
+) -> dict[str, DataFrame]:
+    """Remove rows and, by the declared keys, everything that hangs on them.
+
+    ``doomed`` names for a table a column and a table with its doomed values.  Tables are
+    walked from parents to children, each is read once per reason; a null key
+    hangs on nothing.  Keys of tables that are not given are passed over.
+    """
+    known = [k for k in foreign_keys if k.child in tables and k.parent in tables]
+    order = TopologicalSorter({name: {k.parent for k in known if k.child == name} for name in tables})
+    out, gone = dict(tables), {}
+    for name in order.static_order():
+        reasons = []
+        if name in doomed:
+            column, values = doomed[name]
+            reasons.append((column, values.select(F.col(column).alias("_gone"))))
+        reasons += [
+            (k.column, gone[k.parent].select(F.col(k.parent_column).alias("_gone"))) for k in known if k.child == name and k.parent in gone
+        ]
+        if not reasons:
+            continue
+        table, lost = tables[name], []
+        for column, values in reasons:
+            values = values.distinct()
+            lost.append(table.join(values, F.col(column) == F.col("_gone"), "left_semi"))
+            out[name] = out[name].join(values, F.col(column) == F.col("_gone"), "left_anti")
+        gone[name] = reduce(DataFrame.unionByName, lost)
+    return out
+
+
 def delete_jobs(tables: dict[str, DataFrame], doomed_jobs: DataFrame) -> dict[str, DataFrame]:
     """Remove jobs and everything that belongs to them."""
-    keys = doomed_jobs.select("job_id").distinct()
-    gone_docs = tables["documents"].join(keys, "job_id", "left_semi").select("document_id")
-    out = dict(tables)
-    out["jobs"] = delete_rows(tables["jobs"], keys, ["job_id"])
-    out["documents"] = delete_rows(tables["documents"], keys, ["job_id"])
-    out["extracted_fields"] = delete_rows(tables["extracted_fields"], gone_docs, ["document_id"])
-    if "review_queue" in tables:
-        out["review_queue"] = delete_rows(tables["review_queue"], keys, ["job_id"])
-    return out
+    return delete_cascade(tables, {"jobs": ("job_id", doomed_jobs)})
+
+
+def delete_shipments(tables: dict[str, DataFrame], doomed: DataFrame) -> dict[str, DataFrame]:
+    """Remove shipments and their match results."""
+    return delete_cascade(tables, {"shipments": ("shipment_id", doomed)})
 
 
 def update_rows(
