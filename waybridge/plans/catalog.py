@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +21,13 @@ from waybridge.operators import (
     review,
     split,
     validate,
+    vocabulary,
 )
 from waybridge.plans import endtoend, reports
 from waybridge.plans import fixtures as fx
 from waybridge.session import durable_dir
 from waybridge.sources import pages as pg
-from waybridge.sources import store, uploads
+from waybridge.sources import keyed, store, uploads
 from waybridge.streaming import jobs as streams
 from waybridge.streaming import limiter
 
@@ -1081,6 +1083,72 @@ def delete_cascade(spark, d):
     return out
 
 
+@query
+def keyed_upsert(spark, d):
+    """The cache as a bucketed table: made from the older half, then changed by the newer one."""
+    r = fx.responses(spark, d)
+    half = F.lit("2024-01-16").cast("timestamp")
+    cache = keyed.KeyedTable(spark, durable_dir(spark, "cache") + "/responses", ["cache_key"], buckets=16)
+    order = ["created_at", "response_id"]
+    cache.create(store.latest_by(r.filter(F.col("created_at") < half), ["cache_key"], order))
+    cache.upsert(r.filter(F.col("created_at") >= half), order)
+    return cache.read().select("cache_key", "response_id", "provider")
+
+
+@query
+def keyed_counters(spark, d):
+    """Usage counters of a stored table, a day added to those before it."""
+    calls = fx.calls(spark, d).withColumn("log_date", F.to_date("ts"))
+    last = F.lit("2024-01-16").cast("date")
+    path = durable_dir(spark, "usage") + "/counters"
+    usage = keyed.KeyedTable(spark, path, ["provider", "model", "log_date"], buckets=16)
+    counters = ["request_count", "cache_hit_count"]
+    usage.create(store.count_usage(calls.filter(F.col("log_date") < last)))
+    usage.add(store.count_usage(calls.filter(F.col("log_date") >= last)), counters)
+    return plain(usage.read())
+
+
+@query
+def cascade_rows(spark, d):
+    """What is left of all tables after jobs and shipments were removed."""
+    lines = fx.table(spark, d, "lineitem")
+    tables = {
+        "jobs": fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id")),
+        "documents": fx.documents(spark, d).select("document_id", "job_id"),
+        "extracted_fields": fx.fields(spark, d).select("document_id", "field_name"),
+        "review_queue": fx.reviews(spark, d).select("item_id", "job_id"),
+        "shipments": lines.select(F.col("l_orderkey").alias("shipment_id")).distinct(),
+        "match_results": lines.select(F.col("l_orderkey").alias("shipment_id"), "l_linenumber"),
+    }
+    left = store.delete_cascade(
+        tables,
+        {
+            "jobs": ("job_id", tables["jobs"].filter(F.col("job_id") % 3 == 0)),
+            "shipments": ("shipment_id", tables["shipments"].filter(F.col("shipment_id") % 5 == 0)),
+        },
+    )
+    rows = [
+        t.select(F.lit(n).alias("table_name"), F.concat_ws("|", *(F.col(c).cast("string") for c in t.columns)).alias("row_key"))
+        for n, t in left.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query
+def vocabulary_labels(spark, d):
+    """Labels named from a table of synonyms, one per part."""
+    part = fx.table(spark, d, "part")
+    name = F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))
+    entries = part.select(name.alias("synonym"), F.col("p_type").alias("name"), F.col("p_partkey").alias("ord"))
+    labels = F.array(
+        F.concat(F.upper(name), F.lit(" surcharge")),
+        F.concat_ws(" ", F.element_at(F.split("p_name", " "), 2), F.col("p_partkey").cast("string")),
+        F.concat(F.lit(" "), F.col("p_brand")),
+    )
+    rows = part.select("p_partkey", F.posexplode(labels).alias("place", "label"))
+    return vocabulary.with_names(rows, "label", entries, ["p_partkey", "place"]).select("p_partkey", "place", "charge")
+
+
 @query
 def append_roundtrip(spark, d):
     """Two appends to a stored table, read back."""

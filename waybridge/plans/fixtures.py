@@ -1,7 +1,8 @@
 """Freight tables derived by Spark from the general-purpose input tables.
 
-Everything is a projection, filter or explode of the inputs: no shuffle is
-spent on making data, and all rows of an input table are used.
+Everything is a projection, filter or explode of the inputs, and all rows of an input table
+are used.  The large inputs are dealt out by their keys first, for one of their files may be a
+single row group, which no reader can split; only the columns a query uses travel.
 """
 
 from __future__ import annotations
@@ -13,8 +14,20 @@ from waybridge import vocab
 from waybridge.sources.store import read_table
 
 
+#: keys by which a table is dealt out
+DEALT = {
+    "lineitem": ["l_orderkey", "l_linenumber"],
+    "orders": ["o_orderkey"],
+    "documents": ["doc_id"],
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet")
+    """An input table; large ones in as many partitions as the session shuffles into."""
+    rows = read_table(spark, f"{sf_dir}/{name}.parquet")
+    if name not in DEALT:
+        return rows
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *DEALT[name])
 
 
 def pick(index: Column, *options: str | None) -> Column:

@@ -823,6 +823,21 @@ select 'jobs' as table_name, count(*) as n from orders where o_orderkey % 3 <> 0
 union all select 'documents', count(*) from f_documents where job_id % 3 <> 0
 union all select 'extracted_fields', count(*) from f_fields where job_id % 3 <> 0
 union all select 'review_queue', count(*) from f_reviews where job_id % 3 <> 0 or job_id not in (select o_orderkey from orders)""")
+add("keyed_upsert", "select cache_key, response_id, provider from f_stored")
+add("cascade_rows", """
+select 'jobs' as table_name, cast(o_orderkey as varchar) as row_key from orders where o_orderkey % 3 <> 0
+union all select 'documents', concat_ws('|', document_id, job_id) from f_documents where job_id % 3 <> 0
+union all select 'extracted_fields', concat_ws('|', document_id, field_name) from f_fields where job_id % 3 <> 0
+union all select 'review_queue', concat_ws('|', item_id, job_id) from f_reviews where job_id % 3 <> 0 or job_id not in (select o_orderkey from orders)
+union all select distinct 'shipments', cast(l_orderkey as varchar) from lineitem where l_orderkey % 5 <> 0
+union all select 'match_results', concat_ws('|', l_orderkey, l_linenumber) from lineitem where l_orderkey % 5 <> 0""")
+add("vocabulary_labels", """
+with entries as (select lower(p_name || ' ' || p_partkey) as synonym, p_type as name, p_partkey as ord from part),
+labels as (
+  select p_partkey, unnest([0, 1, 2])::int as place, unnest([upper(p_name || ' ' || p_partkey) || ' surcharge', split_part(p_name, ' ', 2) || ' ' || p_partkey, ' ' || p_brand]) as label
+  from part)
+select p_partkey, place, coalesce(arg_min(name, {'x': synonym <> trim(lower(label)), 'o': ord}), 'other') as charge
+from labels left join entries on contains(synonym, trim(lower(label))) or contains(trim(lower(label)), synonym) group by p_partkey, place""")
 add("append_roundtrip", "select doc_type, count(*) as n, cast(sum(amount) as double) as amount from f_charges group by doc_type")
 part("f_uploads", """
 select doc_id, case doc_id % 4 when 0 then '%PDF-1.4' || chr(10) || text when 1 then '' when 2 then 'PK ' || text else '%PDF' || text || text end as body from documents""")
@@ -964,6 +979,7 @@ select f.item_id, coalesce(arg_max(state_after, f.rn) filter (where accepted), '
   count(*) filter (where accepted) as accepted_actions, count(*) filter (where not accepted) as refused_actions
 from fold f join f_actions a on a.action_id = f.action_id group by f.item_id""")
 _add_fold("stream_review", "select item_id, action_id, state_before, accepted from fold")
+add("keyed_counters", f"select {_USAGE} from f_usage")
 add("stream_usage", f"select {_USAGE} from f_usage")
 add("stream_dedup", """
 select account_id, idempotency_key, case when idempotency_key is null then count(*) end as free_rows from f_jobs group by account_id, idempotency_key""")
