@@ -25,9 +25,9 @@ GROUP = 32_768
 #: words of one generation of what a worker remembers; two generations are held
 REMEMBERED = 200_000
 #: bytes of text whose words are looked up together
-STEP_BYTES = 2_000_000
+STEP_BYTES = 8_000_000
 #: words encoded by one call
-TOGETHER = 1_000
+TOGETHER = 4_000
 
 
 class Recent:
@@ -155,6 +155,21 @@ def token_bytes(path: str | None):
     return lambda text: next(encode([text]))
 
 
+def joined(batches: Iterator, size: int = STEP_BYTES) -> Iterator:
+    """Batches put together up to about ``size`` bytes, for more words are met again in a longer step."""
+    import pyarrow as pa
+
+    held, taken = [], 0
+    for batch in batches:
+        held.append(batch)
+        taken += batch.nbytes
+        if taken >= size:
+            yield pa.concat_batches(held)
+            held, taken = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def pieces(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -179,7 +194,7 @@ def pieces(
 
         encode = encoder(path)
         tail = np.array([end], "<u4").tobytes()
-        for batch in batches:
+        for batch in joined(batches):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, data in enumerate(encode(byte_texts(batch.column(1)))):
                 data += tail
