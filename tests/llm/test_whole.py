@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from waybridge.llm import simhash
 
@@ -50,3 +52,12 @@ def test_a_group_of_copies_keeps_the_text_of_its_survivor(spark):
     assert kept[0] == text(0).removesuffix("\nthe footer")
     assert kept[30] == text(1).removesuffix("\nthe footer")
     assert all("footer" not in t for t in kept.values())
+
+
+def test_an_id_on_two_texts_loses_only_the_copy(spark):
+    rnd = random.Random(2)
+    a, b = (" ".join(rnd.choices("abcdefgh", k=40)) for _ in range(2))
+    rows = [(3, b), (5, a), (5, b), (7, a), (8, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("t1", F.lit(1))
+    kept = sorted((r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(df).collect())
+    assert kept == sorted([(3, b), (5, a)])

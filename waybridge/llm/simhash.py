@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybridge.llm.common import LOWER, byte_texts, read, texts, type_of
+from waybridge.llm.common import LOWER, byte_texts, or_empty, read, texts, type_of
 from waybridge.llm.graph import components
 from waybridge.session import materialized
 
@@ -25,6 +25,8 @@ BLOCK = 1024
 CELL_WORDS = 200_000
 #: bits of the table of shingles met twice, a power of two
 SLOTS = 2**26
+#: of so many shingles one is counted before the others travel, chosen by its hash
+COUNTED = 3
 
 
 def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -204,37 +206,50 @@ def _short(name: bytes) -> int:
     return int.from_bytes(name[:8], "little", signed=True)
 
 
+def _text_bits() -> list[Column]:
+    """128 bits that stand for a text as it is."""
+    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2")]
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, class, c, words): exact class of the word sequence and its short name."""
+    """(id, t1, t2, class, c, words): exact class of the word sequence and its short name."""
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            lists = [t.translate(LOWER).split() for t in byte_texts(batch.column(1))]
+            lists = [t.translate(LOWER).split() for t in byte_texts(batch.column("text"))]
             names = [_class_name(words) for words in lists]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    *(batch.column(c) for c in ("id", "t1", "t2")),
                     pa.array(names, pa.binary()),
                     pa.array([_short(n) for n in names], pa.int64()),
                     pa.array([len(words) for words in lists], pa.int64()),
                 ],
-                ["id", "class", "c", "words"],
+                ["id", "t1", "t2", "class", "c", "words"],
             )
 
-    source = texts(docs, id_col, text_col)
-    return source.mapInArrow(work, f"id {type_of(source, 'id')}, class binary, c long, words long")
+    source = texts(docs, id_col, text_col).select("id", "text", *_text_bits())
+    kinds = f"id {type_of(source, 'id')}, t1 long, t2 long, class binary, c long, words long"
+    return source.mapInArrow(work, kinds)
 
 
-def _holders(docs: DataFrame, id_col: str, text_col: str, k: int, met_slots=None) -> DataFrame:
+def _holders(
+    docs: DataFrame, id_col: str, text_col: str, k: int, met_slots=None, threshold: float = 0.0
+) -> DataFrame:
     """(by, sh): the set of k-word shingles of every class, by its (c, size of the set).
 
-    A task gives a class once; several tasks may give it again.  With ``met_slots`` only
-    shingles whose slot is set come out; the size is that of the whole set.
+    A task gives a class once; several tasks may give it again.  Without ``met_slots`` only
+    the counted shingles come out, one in COUNTED.  With it counted shingles whose slot is not
+    set are known to stand in one text alone.  They are left out, and so is a text that has
+    too many of them: a partner at the threshold has all but ``1 - threshold`` of its
+    shingles.  No text with a partner is left out, and the size is that of the whole set.
     """
 
     def work(batches: Iterator) -> Iterator:
+        import math
+
         import numpy as np
         import pyarrow as pa
 
@@ -246,12 +261,18 @@ def _holders(docs: DataFrame, id_col: str, text_col: str, k: int, met_slots=None
                 name = _class_name(words)
                 if name not in met:
                     met.add(name)
-                    short.append(_short(name))
                     own = np.unique(shingles(words, k, 42)).view(np.int64)
-                    sizes.append(len(own))
-                    if met_slots is not None:
+                    size, counted = len(own), own % COUNTED == 0
+                    if met_slots is None:
+                        own = own[counted]
+                    else:
                         slot = own & (SLOTS - 1)
-                        own = own[(met_slots[slot >> 6] >> (slot & 63)) & 1 == 1]
+                        alone = counted & ((met_slots[slot >> 6] >> (slot & 63)) & 1 == 0)
+                        if alone.sum() > size - math.ceil(size * threshold - 1e-9):
+                            continue
+                        own = own[~alone]
+                    short.append(_short(name))
+                    sizes.append(size)
                     sets.append(own)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -357,7 +378,7 @@ def near_duplicates(
     threshold: float = 0.8,
     cell_words: int = CELL_WORDS,
 ) -> DataFrame:
-    """(id, class, group): groups of texts linked by shared k-word shingles.
+    """(id, t1, t2, class, group): groups of texts linked by shared k-word shingles.
 
     Two texts are linked if the Jaccard similarity of their sets of k-word shingles reaches
     the threshold.  Candidates are texts that share a shingle of their prefixes (see
@@ -367,7 +388,7 @@ def near_duplicates(
     only edges that join linked texts come out.  Texts with the same words are one class
     from the start, so copies cost one row each.
 
-    Every row gives one row; ``group`` is the least id of the group.  Null and empty texts
+    Every row gives one row, with 128 bits of its text in ``t1`` and ``t2``; ``group`` is the least id of the group.  Null and empty texts
     form one class; a null id never names a group that has another id.
     """
     import numpy as np
@@ -378,7 +399,7 @@ def near_duplicates(
     )
     kinds = materialized(kinds, "kinds")
     slots = _met_slots(_holders(docs, id_col, text_col, k))
-    holders = materialized(_holders(docs, id_col, text_col, k, slots), "holders")
+    holders = materialized(_holders(docs, id_col, text_col, k, slots, threshold), "holders")
     candidates = components(_prefix_links(holders, threshold))
     placed = kinds.join(candidates.withColumnRenamed("node", "c"), "c").select(
         "class", "least", "words", "root"
@@ -448,18 +469,25 @@ def near_duplicates(
         groups.select(F.unhex("node").alias("class"), "root"), "class", "left"
     ).withColumn("root", F.coalesce("root", F.hex("class")))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("group")), "root")
-    return seen.join(named.select("class", "group"), "class").select("id", "class", "group")
+    return seen.join(named.select("class", "group"), "class").select("id", "t1", "t2", "class", "group")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those whose group has a smaller id; columns stay as they are.
 
-    Rows with a null id cannot be told apart and are kept.  Repeated rows of one id are
-    one document and stay together.
+    Rows with a null id cannot be told apart and are kept.  Repeated rows of one id and text
+    stay together; an id that stands on several texts loses only the rows whose text
+    has another survivor.
     """
     groups = near_duplicates(docs, id_col, text_col)
-    gone = groups.filter(F.col("id") != F.col("group")).select("id").distinct()
-    return docs.join(gone, docs[id_col] == gone["id"], "left_anti")
+    gone = groups.filter(F.col("id") != F.col("group")).select(F.col("id").alias("_id"), "t1", "t2").distinct()
+    text = or_empty(F.col(text_col))
+    same = (
+        (docs[id_col] == gone["_id"])
+        & (F.xxhash64(text) == gone["t1"])
+        & (F.xxhash64(F.lit(7), text) == gone["t2"])
+    )
+    return docs.join(gone, same, "left_anti")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
