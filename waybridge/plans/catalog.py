@@ -28,6 +28,7 @@ from waybridge.plans import fixtures as fx
 from waybridge.session import durable_dir
 from waybridge.sources import pages as pg
 from waybridge.sources import keyed, store, uploads
+from waybridge.streaming import batches
 from waybridge.streaming import jobs as streams
 from waybridge.streaming import limiter
 
@@ -1268,7 +1269,7 @@ def verification_prompts(spark, d):
 
 @query
 def split_prompts(spark, d):
-    digests = split.page_digests(fx.text_pages(spark, d), block=64)
+    digests = split.page_digests(fx.text_pages(spark, d), vocab.DIGEST_PAGE_CHARS, block=64)
     return plain(requests.split_requests(digests).select("job_id", "part_no", "cache_key"))
 
 
@@ -1511,28 +1512,61 @@ def stream_arrivals(spark, d):
     return found.drop("batch_id")
 
 
-def order_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Rendered order texts as pages, four to a job."""
-    key = F.floor(F.col("document_id") / 2)
-    body = F.col("text")
+def paper_pages(spark: SparkSession, d: str) -> DataFrame:
+    """All order texts and general documents as pages with layout numbers, up to eight to a job."""
+    key, length = F.col("document_id"), F.length("text")
+    return fx.texts(spark, d).select(
+        F.floor(key / 8).alias("job_id"),
+        (key % 8 + 1).alias("page_no"),
+        "text",
+        text.header_text(F.col("text"), 1).alias("header_text"),
+        (F.lit(10) + length % 4).cast("double").alias("avg_font_size"),
+        (length % 80).cast("double").alias("top_margin"),
+        (F.lit(2000) + length % 900).cast("double").alias("text_density"),
+    )
+
+
+def paper_jobs(pages: DataFrame) -> DataFrame:
     return (
-        fx.texts(spark, d)
-        .filter(F.col("document_id") % 2 == 0)
-        .select(
-            F.floor(key / 4).alias("job_id"),
-            (key % 4 + 1).alias("page_no"),
-            "text",
-            text.header_text(body, 1).alias("header_text"),
-            F.lit(10.0).alias("avg_font_size"),
-            F.lit(50.0).alias("top_margin"),
-            F.lit(0.001).alias("text_density"),
-        )
+        pages.groupBy("job_id").agg(F.count("*").alias("pages")).withColumn("account_id", F.col("job_id") % 10)
     )
 
 
 @query
 def reconcile(spark, d):
     """All stages from pages to review decisions."""
-    pages = order_pages(spark, d)
-    jobs = pages.select("job_id").distinct().withColumn("account_id", F.col("job_id") % 10)
-    return endtoend.reconcile(pages, jobs)["review_routing"]
+    pages = paper_pages(spark, d)
+    return endtoend.reconcile(pages, paper_jobs(pages))["review_routing"]
+
+
+@query
+def reconcile_replies(spark, d):
+    """Documents and their types with stored replies to the questions about unclear ones.
+
+    A first run writes its requests; the replies are made from them, and a second run over the
+    same folder takes them up.
+    """
+    pages = paper_pages(spark, d)
+    jobs = paper_jobs(pages)
+    root = durable_dir(spark, "reconcile")
+    none = spark.createDataFrame([], "cache_key string, response_json string, ttl_expires_at timestamp")
+    asked = endtoend.reconcile(pages, jobs, responses=none, as_of=as_of(), root=root)["open_requests"]
+    kind = fx.pick(F.ascii("cache_key") % 5, *vocab.DOC_TYPES, vocab.UNKNOWN)
+    replies = asked.filter(F.col("round") == "classification").select(
+        "cache_key",
+        F.concat(F.lit('{"doc_type": "'), kind, F.lit('"}')).alias("response_json"),
+        (as_of() + F.expr("interval 1 day")).alias("ttl_expires_at"),
+    )
+    out = endtoend.reconcile(pages, jobs, responses=replies, as_of=as_of(), root=root)
+    return plain(out["documents"].drop("document_id"))
+
+
+@query
+def stream_reconcile(spark, d):
+    """Pages of a stream through all stages; jobs are done when all of their pages have come."""
+    pages = paper_pages(spark, d)
+    jobs = paper_jobs(pages)
+    source = durable_dir(spark, "page-files")
+    pages.write.parquet(source)
+    stream = streams.file_stream(spark, source, spark.read.parquet(source).schema)
+    return batches.reconciled_arrivals(stream, jobs)["review_routing"]

@@ -666,6 +666,41 @@ from (select job_id, page_no, count(nullif(w, '')) as n, sum(case when length(w)
     count(case when length(w) % 5 <> 4 then 1 end) as sizes, min(cast(20 + length(w) * 2 as double)) as lowest, sum(length(w)) as chars
   from (select job_id, page_no, unnest(string_split(text, ' ')) as w from f_pages) group by job_id, page_no)""")
 
+# --- end-to-end job: which documents there are and of which type ---------------------
+
+part("f_paper_pages", f"""
+select *, {_HEADER} as header_type from (
+  select document_id // 8 as job_id, document_id % 8 + 1 as page_no, document_id, text,
+    upper(replace(split_part(regexp_replace(text, '^[\\s\\v\\x{{85}}\\x{{A0}}\\p{{Z}}]+|[\\s\\v\\x{{85}}\\x{{A0}}\\p{{Z}}]+$', '', 'g'), chr(10), 1), 'ß', 'SS')) as header_text,
+    cast(10 + length(text) % 4 as double) as avg_font_size, cast(length(text) % 80 as double) as top_margin,
+    cast(2000 + length(text) % 900 as double) as text_density from f_texts)""")
+part("f_paper_header", PARTS["f_header_cut"].replace("f_header_pages", "f_paper_pages"))
+part("f_paper_layout", PARTS["f_layout_cut"].replace("f_header_pages", "f_paper_pages"))
+part("f_paper_leading", """
+select job_id, min(page_no) as page_start, max(page_no) as page_end from f_paper_pages join (
+  select job_id, min(page_no) as first from f_paper_pages where header_type is not null group by job_id) using (job_id)
+where page_no < first group by job_id""")
+part("f_paper_offers", """
+select job_id, page_start, page_end, doc_type, method, doc_type <> 'unknown' as named from f_paper_header
+union all select job_id, page_start, page_end, 'unknown', 'header', false from f_paper_leading
+union all select job_id, page_start, page_end, coalesce(header_type, 'unknown'), 'layout', true from f_paper_layout""")
+part("f_paper_choice", """
+select job_id, case when max(page_end) <= 1 then 'single' when count(*) filter (where method = 'header' and named) > 1 then 'header'
+  when count(*) filter (where method = 'layout') > 1 then 'layout' else 'header' end as choice from f_paper_offers group by job_id""")
+part("f_paper_segments", """
+select job_id, page_start, page_end, case when choice = 'single' then 'unknown' else doc_type end as segment_type
+from f_paper_offers join f_paper_choice using (job_id) where method = case when choice = 'single' then 'header' else choice end""")
+part("f_paper_first", """
+select s.job_id, s.page_start, s.page_end, any_value(segment_type) as segment_type, arg_min(p.document_id, p.page_no) as document_id,
+  arg_min(p.text, p.page_no) as text
+from f_paper_segments s join f_paper_pages p on p.job_id = s.job_id and p.page_no between s.page_start and s.page_end group by all""")
+add("reconcile_replies", f"""
+select job_id, page_start, page_end, needs_model, case when use then 0.8::double else top_score end as class_confidence,
+  case when use then m when doc_type = 'unknown' then segment_type else doc_type end as doc_type
+from (select *, needs_model and m <> 'unknown' as use from (
+  select *, {_case("ord(sha256('classification_v1:' || sha256(text) || ':1')) % 5", [*vocab.DOC_TYPES, vocab.UNKNOWN])} as m
+  from f_paper_first join f_class using (document_id)))""")
+
 # --- listings -----------------------------------------------------------------------
 
 _TS = "'%Y-%m-%d %H:%M:%S.%f'"

@@ -77,9 +77,10 @@ def keyset_page(
     """Newest rows before a cursor (created_at, key), at most ``limit`` of them.
 
     The cursor of the next page is carried on every row and null when the page
-    is not full.
+    is not full.  A limit outside 1..200 is refused.
     """
-    limit = max(1, min(limit, 200))
+    if not 1 <= limit <= 200:
+        raise ValueError(f"limit must be between 1 and 200, not {limit}")
     older = None
     if before is not None:
         ts, last = F.lit(before[0]).cast("timestamp"), F.lit(before[1])
