@@ -238,7 +238,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _holders(
     docs: DataFrame, id_col: str, text_col: str, k: int, met_slots=None, threshold: float = 0.0
 ) -> DataFrame:
-    """(by, sh): the set of k-word shingles of every class, by its (c, size of the set).
+    """(class, c, all, sh): the set of k-word shingles of every class with its size.
 
     A task gives a class once; several tasks may give it again.  Without ``met_slots`` only
     the counted shingles come out, one in COUNTED.  With it counted shingles whose slot is not
@@ -255,7 +255,7 @@ def _holders(
 
         met: set[bytes] = set()
         for batch in batches:
-            short, sizes, sets = [], [], []
+            names, sizes, sets = [], [], []
             for text in byte_texts(batch.column("text")):
                 words = text.translate(LOWER).split()
                 name = _class_name(words)
@@ -271,22 +271,21 @@ def _holders(
                         if alone.sum() > size - math.ceil(size * threshold - 1e-9):
                             continue
                         own = own[~alone]
-                    short.append(_short(name))
+                    names.append(name)
                     sizes.append(size)
                     sets.append(own)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(short, pa.int64()),
+                    pa.array(names, pa.binary()),
+                    pa.array([_short(n) for n in names], pa.int64()),
                     pa.array(sizes, pa.int64()),
                     pa.array(sets, pa.list_(pa.int64())),
                 ],
-                ["c", "all", "sh"],
+                ["class", "c", "all", "sh"],
             )
 
     source = texts(docs, id_col, text_col).select("text")
-    return source.mapInArrow(work, "c long, all long, sh array<long>").select(
-        F.struct("c", "all").alias("by"), F.explode("sh").alias("sh")
-    )
+    return source.mapInArrow(work, "class binary, c long, all long, sh array<long>")
 
 
 def _met_slots(holders: DataFrame):
@@ -298,7 +297,8 @@ def _met_slots(holders: DataFrame):
     import numpy as np
 
     # 40 bits travel cheaper than 64; two shingles alike in them count as met
-    again = holders.groupBy((F.col("sh").bitwiseAND(F.lit(2**40 - 1))).alias("h")).count().filter("count > 1")
+    shingle = holders.select(F.explode("sh").alias("sh"))
+    again = shingle.groupBy((F.col("sh").bitwiseAND(F.lit(2**40 - 1))).alias("h")).count().filter("count > 1")
     slot = F.col("h").bitwiseAND(F.lit(SLOTS - 1))
     words = again.groupBy(F.shiftright(slot, 6).alias("at")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")
@@ -316,6 +316,7 @@ def _prefix_links(holders: DataFrame, threshold: float) -> DataFrame:
     of both prefixes, without exception.  A shingle of one text alone comes first and joins
     nothing, so only shared ones travel; a text with too few of them has no partner at all.
     """
+    holders = holders.select(F.struct("c", "all").alias("by"), F.explode("sh").alias("sh"))
     shared = (
         holders.groupBy("sh")
         .agg(F.min("by").alias("low"), F.max("by").alias("high"), F.count("*").alias("df"))
@@ -336,17 +337,20 @@ def _prefix_links(holders: DataFrame, threshold: float) -> DataFrame:
     return prefix.join(least, "sh").filter("b < c").select(F.col("c").alias("a"), "b").distinct()
 
 
-def _similar(sets: list, threshold: float) -> list[tuple[int, int]]:
-    """Edges that join the sets linked by a Jaccard similarity of ``threshold`` or more."""
+def _similar(sets: list, size, threshold: float) -> list[tuple[int, int]]:
+    """Edges that join the sets linked by a Jaccard similarity of ``threshold`` or more.
+
+    ``size`` are the sizes of the whole sets; members that no other set has may be missing.
+    """
     import numpy as np
 
-    size = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), size)
+    given = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), given)
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
     order = np.argsort(codes, kind="stable")
     posting = owner[order]
     first = np.searchsorted(codes[order], np.arange(codes.max() + 2)) if len(codes) else [0]
-    at = np.concatenate([[0], np.cumsum(size)])
+    at = np.concatenate([[0], np.cumsum(given)])
     left = np.ones(len(sets), bool)
     edges, queue = [], []
     for seed in range(len(sets)):
@@ -384,7 +388,7 @@ def near_duplicates(
     the threshold.  Candidates are texts that share a shingle of their prefixes (see
     ``_prefix_links``), so no pair at the threshold is missed.  Candidate components are then
     checked exactly: the shingle sets of a
-    component meet in cells of about ``2 * cell_words`` words, every two parts in one cell, and
+    component, as they were read for the candidates, meet in cells of about ``2 * cell_words`` words, every two parts in one cell, and
     only edges that join linked texts come out.  Texts with the same words are one class
     from the start, so copies cost one row each.
 
@@ -402,7 +406,7 @@ def near_duplicates(
     holders = materialized(_holders(docs, id_col, text_col, k, slots, threshold), "holders")
     candidates = components(_prefix_links(holders, threshold))
     placed = kinds.join(candidates.withColumnRenamed("node", "c"), "c").select(
-        "class", "least", "words", "root"
+        "class", "words", "root"
     )
     placed = materialized(placed, "candidates")
     weight = (
@@ -411,35 +415,15 @@ def near_duplicates(
         .filter("n > 1")
         .select("root", F.greatest(F.lit(1), F.ceil(F.col("total") / cell_words)).alias("nb"))
     )
-    chosen = placed.join(weight, "root").select("class", "least", "root", "nb")
-
-    def sets(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    chosen = placed.join(weight, "root").select("class", "root", "nb")
 
-        for batch in batches:
-            rows, out = [], []
-            named = zip(batch.column("class").to_pylist(), byte_texts(batch.column("text")), strict=True)
-            for row, (name, text) in enumerate(named):
-                words = text.translate(LOWER).split()
-                # an id may stand on other texts, too
-                if _class_name(words) == name:
-                    rows.append(row)
-                    out.append(np.unique(shingles(words, k, 42)).view(np.int64))
-            rest = batch.select(["class", "root", "nb"]).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [*rest.columns, pa.array(out, pa.list_(pa.int64()))], [*rest.schema.names, "sh"]
-            )
-
-    source = texts(docs, id_col, text_col)
-    whole = source.join(chosen, source["id"].eqNullSafe(chosen["least"])).select(
-        "class", "root", "nb", "text"
-    )
     cells = (
-        whole.mapInArrow(sets, "class binary, root long, nb long, sh array<long>")
+        holders.join(chosen, "class")
+        .dropDuplicates(["class"])
         .withColumn("i", F.pmod(F.xxhash64("class"), F.col("nb")))
         .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         .groupBy("root", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"))
-        .agg(F.collect_set(F.struct("class", "sh")).alias("members"))
+        .agg(F.collect_set(F.struct("class", "all", "sh")).alias("members"))
         .select("members")
     )
 
@@ -457,7 +441,8 @@ def near_duplicates(
                 lists = members.field("sh")
                 flat = lists.flatten().to_numpy(zero_copy_only=False)
                 cut = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1]
-                for i, j in _similar(np.split(flat, cut), threshold):
+                whole = members.field("all").to_numpy(zero_copy_only=False)
+                for i, j in _similar(np.split(flat, cut), whole, threshold):
                     a.append(names[i].hex())
                     b.append(names[j].hex())
             yield pa.RecordBatch.from_arrays(
