@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -195,3 +196,10 @@ def quantity_text(value: Column) -> Column:
             F.regexp_replace(q.cast("string"), "0+$", "")
         ),
     )
+
+
+def worded(template: str, **columns: Column) -> Column:
+    """A text with columns in place of the names in braces; null if one of them is null."""
+    parts = re.split(r"\{(\w+)\}", template)
+    pieces = [columns[p] if i % 2 else F.lit(p) for i, p in enumerate(parts) if i % 2 or p]
+    return F.concat(*pieces)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waybridge import vocab
+from waybridge.functions.values import worded
 from waybridge.operators.hotkeys import attach_per_key
 from waybridge.session import materialized
 
@@ -97,16 +98,16 @@ def action_error(action: Column, state: Column, filled: Column) -> Column:
     return (
         F.when(
             ~legal & (action == "claim"),
-            F.concat(F.lit("Cannot transition from '"), state, F.lit("' to 'in_review'")),
+            worded(vocab.CLAIM_REFUSED, state=state),
         )
         .when(
             ~legal & (action == "escalate"),
-            F.concat(F.lit("Cannot escalate from state '"), state, F.lit("'")),
+            worded(vocab.ESCALATE_REFUSED, state=state),
         )
-        .when(~legal, F.concat(F.lit("Cannot resolve from state '"), state, F.lit("'")))
+        .when(~legal, worded(vocab.RESOLVE_REFUSED, state=state))
         .when(
             (action == "correct") & ~filled,
-            "corrected_fields is required for 'corrected' resolution",
+            vocab.CORRECTIONS_MISSING,
         )
     )
 

@@ -47,7 +47,14 @@ def add(name: str, body: str) -> None:
             if p not in needed and re.search(rf"\b{p}\b", text):
                 needed.add(p)
                 queue.append(PARTS[p])
-    ctes = ",\n".join(f"{p} as ({PARTS[p]})" for p in PARTS if p in needed)
+    texts = [body, *(PARTS[p] for p in needed)]
+
+    def part_sql(p: str) -> str:
+        # what is used more than once is computed once
+        uses = sum(len(re.findall(rf"\b{p}\b", t)) for t in texts)
+        return f"{p} as {'materialized ' if uses > 1 else ''}({PARTS[p]})"
+
+    ctes = ",\n".join(part_sql(p) for p in PARTS if p in needed)
     own = "with recursive "
     if ctes and body.lstrip().startswith(own):
         SQL[name] = f"{own}{ctes},\n{body.lstrip().removeprefix(own)}"

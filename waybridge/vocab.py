@@ -263,3 +263,18 @@ EVENT_BY_STATUS = {
     "needs_review": "job.needs_review",
     "failed": "job.failed",
 }
+
+
+# --- fixed values: messages ------------------------------------------------------
+CLAIM_REFUSED = "Cannot transition from '{state}' to 'in_review'"
+ESCALATE_REFUSED = "Cannot escalate from state '{state}'"
+RESOLVE_REFUSED = "Cannot resolve from state '{state}'"
+CORRECTIONS_MISSING = "corrected_fields is required for 'corrected' resolution"
+REQUIRED_MESSAGE = "Required field '{field}' {how} for {doc_type}"
+PICKUP_LATE = "Pickup date ({pickup}) is after delivery date ({delivery})"
+DELIVERY_LATE = "Delivery date ({delivery}) is after invoice due date ({due})"
+TOTAL_DIFFERS = (
+    "Total ({total}) does not match sum of components ({expected}): linehaul={linehaul}"
+    " + fuel={fuel} + accessorials={accessorials} (difference: {difference})"
+)
+LOADS_DIFFER = "Multiple different load numbers found across documents: "
