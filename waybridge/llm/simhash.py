@@ -316,21 +316,22 @@ def _prefix_links(holders: DataFrame, threshold: float) -> DataFrame:
     of both prefixes, without exception.  A shingle of one text alone comes first and joins
     nothing, so only shared ones travel; a text with too few of them has no partner at all.
     """
-    holders = holders.select(F.struct("c", "all").alias("by"), F.explode("sh").alias("sh"))
+    # plain numbers keep the rows of both shuffles short and let the counts be hashed
+    holders = holders.select("c", "all", F.explode("sh").alias("sh"))
     shared = (
         holders.groupBy("sh")
-        .agg(F.min("by").alias("low"), F.max("by").alias("high"), F.count("*").alias("df"))
+        .agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("df"))
         .filter("low < high")
         .select("sh", "df")
     )
-    room = F.col("by.all") - F.ceil(F.col("by.all") * threshold - 1e-9) + 1
+    room = F.col("all") - F.ceil(F.col("all") * threshold - 1e-9) + 1
     prefix = (
         holders.join(shared, "sh")
-        .groupBy("by")
+        .groupBy("c", "all")
         .agg(F.array_sort(F.collect_set(F.struct("df", "sh"))).alias("own"))
-        .withColumn("left", (room - (F.col("by.all") - F.size("own"))).cast("int"))
+        .withColumn("left", (room - (F.col("all") - F.size("own"))).cast("int"))
         .filter("left > 0")
-        .select(F.col("by.c").alias("c"), F.explode(F.slice("own", F.lit(1), F.col("left"))["sh"]).alias("sh"))
+        .select("c", F.explode(F.slice("own", F.lit(1), F.col("left"))["sh"]).alias("sh"))
     )
     prefix = materialized(prefix, "prefixes")
     least = materialized(prefix.groupBy("sh").agg(F.min("c").alias("b")), "least")
