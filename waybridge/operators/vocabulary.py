@@ -3,6 +3,8 @@
 A text that stands inside another one has all its short substrings (grams) in common with
 it.  So each contained side gives one gram, the one that fewest entries have, and meets
 all grams of the other side by an equality join; what meets is checked for real.
+Every table here grows with the labels or the vocabulary, however short its files are, so
+the joins sort both sides and none of them is copied whole.
 """
 
 from __future__ import annotations
@@ -60,7 +62,7 @@ def named_labels(labels: DataFrame, vocabulary: DataFrame, other: str = "other")
         """(key, gram): of each text the gram that fewest synonyms have; none has fewest of all."""
         each = df.select(key, F.explode(own_grams(F.col(text))).alias("gram"))
         return (
-            each.join(common, "gram", "left")
+            each.join(common.hint("merge"), "gram", "left")
             .groupBy(key)
             .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
         )
@@ -68,18 +70,18 @@ def named_labels(labels: DataFrame, vocabulary: DataFrame, other: str = "other")
     filled = keys.filter("key <> ''")
     inside = (
         filled.select("key", F.explode(grams(F.col("key"))).alias("gram"))
-        .join(rarest(entries, "ord", "synonym"), "gram")
+        .join(rarest(entries, "ord", "synonym").hint("merge"), "gram")
         .select("key", "ord")
     )
-    around = rarest(filled, "key", "key").join(postings, "gram").select("key", "ord")
-    met = inside.unionByName(around).distinct().join(entries, "ord")
+    around = rarest(filled, "key", "key").join(postings.hint("merge"), "gram").select("key", "ord")
+    met = inside.unionByName(around).distinct().join(entries.hint("merge"), "ord")
     fits = F.contains("key", "synonym") | F.contains("synonym", "key")
     best = (
         met.filter(fits)
         .groupBy("key")
         .agg(F.min_by("name", F.struct(F.col("synonym") != F.col("key"), "ord")).alias("name"))
     )
-    return keys.join(best, "key", "left").select("key", F.coalesce("name", F.lit(other)).alias("name"))
+    return keys.join(best.hint("merge"), "key", "left").select("key", F.coalesce("name", F.lit(other)).alias("name"))
 
 
 def with_names(rows: DataFrame, label: str, vocabulary: DataFrame, spread: list[str], out: str = "charge") -> DataFrame:
