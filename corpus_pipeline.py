@@ -11,7 +11,7 @@ from waybridge.llm.decontaminate import drop_contaminated
 from waybridge.llm.language import keep_identified
 from waybridge.llm.lines import drop_boilerplate
 from waybridge.llm.packing import pack_documents
-from waybridge.llm.simhash import drop_near_duplicates
+from waybridge.llm.simhash import RADIUS, drop_near_duplicates
 from waybridge.session import materialized
 
 
@@ -29,8 +29,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
-    return drop_near_duplicates(docs)
+    """Keeps the document with the smallest id of each group of near copies.
+
+    Texts are linked by their SimHash fingerprints; exactly compared sets of shingles add
+    the links that fingerprints miss.
+    """
+    return drop_near_duplicates(docs, radius=RADIUS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

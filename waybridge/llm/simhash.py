@@ -211,8 +211,11 @@ def _text_bits() -> list[Column]:
     return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2")]
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, t1, t2, class, c, words): exact class of the word sequence and its short name."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, prints: bool) -> DataFrame:
+    """(id, t1, t2, class, c, words, fp): exact class of the word sequence and its short name.
+
+    ``fp`` is the fingerprint of :func:`fingerprints`, null without ``prints``.
+    """
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -226,12 +229,13 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     pa.array(names, pa.binary()),
                     pa.array([_short(n) for n in names], pa.int64()),
                     pa.array([len(words) for words in lists], pa.int64()),
+                    pa.array([majority(shingles(words, 4, 42)) if prints else None for words in lists], pa.int64()),
                 ],
-                ["id", "t1", "t2", "class", "c", "words"],
+                ["id", "t1", "t2", "class", "c", "words", "fp"],
             )
 
     source = texts(docs, id_col, text_col).select("id", "text", *_text_bits())
-    kinds = f"id {type_of(source, 'id')}, t1 long, t2 long, class binary, c long, words long"
+    kinds = f"id {type_of(source, 'id')}, t1 long, t2 long, class binary, c long, words long, fp long"
     return source.mapInArrow(work, kinds)
 
 
@@ -338,6 +342,19 @@ def _prefix_links(holders: DataFrame, threshold: float) -> DataFrame:
     return prefix.join(least, "sh").filter("b < c").select(F.col("c").alias("a"), "b").distinct()
 
 
+def _print_links(kinds: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) of class names that connect the classes whose fingerprints are linked."""
+    firsts = materialized(kinds.groupBy("fp").agg(F.min(F.hex("class")).alias("first")), "first-classes")
+    alike = (
+        kinds.join(firsts, "fp")
+        .select(F.hex("class").alias("a"), F.col("first").alias("b"))
+        .filter("a <> b")
+    )
+    near = covering_links(firsts.select("fp"), radius).withColumnsRenamed({"a": "x", "b": "y"})
+    ends = [firsts.select(F.col("fp").alias(v), F.col("first").alias(n)) for v, n in (("x", "a"), ("y", "b"))]
+    return alike.unionByName(near.join(ends[0], "x").join(ends[1], "y").select("a", "b"))
+
+
 def _similar(sets: list, size, threshold: float) -> list[tuple[int, int]]:
     """Edges that join the sets linked by a Jaccard similarity of ``threshold`` or more.
 
@@ -382,6 +399,7 @@ def near_duplicates(
     k: int = 5,
     threshold: float = 0.8,
     cell_words: int = CELL_WORDS,
+    radius: int | None = None,
 ) -> DataFrame:
     """(id, t1, t2, class, group): groups of texts linked by shared k-word shingles.
 
@@ -393,14 +411,18 @@ def near_duplicates(
     only edges that join linked texts come out.  Texts with the same words are one class
     from the start, so copies cost one row each.
 
+    With ``radius`` texts are linked by their SimHash fingerprints, too, as
+    :func:`simhash_components` links them; the shingles then add the links that the
+    fingerprints miss.
+
     Every row gives one row, with 128 bits of its text in ``t1`` and ``t2``; ``group`` is the least id of the group.  Null and empty texts
     form one class; a null id never names a group that has another id.
     """
     import numpy as np
 
-    seen = materialized(_classes(docs, id_col, text_col), "classes")
+    seen = materialized(_classes(docs, id_col, text_col, radius is not None), "classes")
     kinds = seen.groupBy("class").agg(
-        F.min("id").alias("least"), F.first("c").alias("c"), F.first("words").alias("words")
+        F.min("id").alias("least"), *[F.first(n).alias(n) for n in ("c", "words", "fp")]
     )
     kinds = materialized(kinds, "kinds")
     slots = _met_slots(_holders(docs, id_col, text_col, k))
@@ -450,7 +472,10 @@ def near_duplicates(
                 [pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"]
             )
 
-    groups = components(cells.mapInArrow(verify, "a string, b string"))
+    links = cells.mapInArrow(verify, "a string, b string").select(F.upper("a").alias("a"), F.upper("b").alias("b"))
+    if radius is not None:
+        links = links.unionByName(_print_links(kinds, radius))
+    groups = components(links)
     rooted = kinds.select("class", "least").join(
         groups.select(F.unhex("node").alias("class"), "root"), "class", "left"
     ).withColumn("root", F.coalesce("root", F.hex("class")))
@@ -458,14 +483,18 @@ def near_duplicates(
     return seen.join(named.select("class", "group"), "class").select("id", "t1", "t2", "class", "group")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int | None = None
+) -> DataFrame:
     """The documents without those whose group has a smaller id; columns stay as they are.
 
+    See :func:`near_duplicates` for the groups and ``radius``.
+
     Rows with a null id cannot be told apart and are kept.  Repeated rows of one id and text
     stay together; an id that stands on several texts loses only the rows whose text
     has another survivor.
     """
-    groups = near_duplicates(docs, id_col, text_col)
+    groups = near_duplicates(docs, id_col, text_col, radius=radius)
     gone = groups.filter(F.col("id") != F.col("group")).select(F.col("id").alias("_id"), "t1", "t2").distinct()
     text = or_empty(F.col(text_col))
     same = (
