@@ -8,8 +8,8 @@ def plan(df):
 
 
 def test_doomed_keys_are_not_copied_to_all_tasks(spark):
-    jobs = spark.createDataFrame([(1,), (2,)], "job_id long")
-    documents = spark.createDataFrame([(10, 1), (20, 2), (30, None)], "document_id long, job_id long")
+    jobs = spark.sql("SELECT * FROM VALUES (1), (2) AS t(job_id)")
+    documents = spark.sql("SELECT * FROM VALUES (10, 1), (20, 2), (30, NULL) AS t(document_id, job_id)")
     left = store.delete_jobs({"jobs": jobs, "documents": documents}, jobs.filter("job_id = 1"))
     assert "BroadcastHashJoin" not in plan(left["documents"])
     assert {r["document_id"] for r in left["documents"].collect()} == {20, 30}
