@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from operator import add
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,14 +37,18 @@ class Recent:
     def __init__(self, size: int = REMEMBERED) -> None:
         self.size, self.young, self.old = size, {}, {}
 
-    def missing(self, keys: set) -> list:
-        """The keys that are not known; all others are in ``young`` afterwards."""
+    def missing(self, keys: Iterable) -> list:
+        """Of distinct keys those that are not known; all others are in ``young`` afterwards."""
         if len(self.young) > self.size:
             self.young, self.old = {}, self.young
-        rest = keys - self.young.keys()
-        again = rest & self.old.keys()
-        self.young.update((k, self.old[k]) for k in again)
-        return list(rest - again)
+        young, old, new = self.young, self.old, []
+        for key in keys:
+            if key not in young:
+                if key in old:
+                    young[key] = old[key]
+                else:
+                    new.append(key)
+        return new
 
 
 class Vocabulary:
@@ -99,6 +104,8 @@ def encoder(path: str | None):
     from "word" and ",", which leaves far fewer strings to encode.  New strings are
     encoded many to a call, on lines of their own, and cut apart afterwards.
     """
+    import numpy as np
+
     if path is None:
         import public_tokenizers
 
@@ -108,43 +115,61 @@ def encoder(path: str | None):
     vocabulary = kept.get(path) or kept.setdefault(path, Vocabulary(path))
     apart, marks, stems, known = vocabulary.apart, vocabulary.marks, vocabulary.stems, vocabulary.known
 
-    def parts(text: str) -> tuple[str, bytes]:
-        """The string to encode, and what follows it."""
-        # a final sigma depends on its neighbours in Python and not in the vocabulary
-        if apart and "\u03a3" not in text:
+    def parts(fresh: list[str]) -> tuple[list[str], list[bytes]]:
+        """The strings to encode, and what follows each; words are lower-cased together."""
+        found, tails = list(fresh), [b""] * len(fresh)
+        if not apart:
+            return found, tails
+        for i, (text, lower) in enumerate(zip(fresh, "\n".join(fresh).lower().split("\n"), strict=True)):
+            # a final sigma depends on its neighbours in Python and not in the vocabulary
+            if not text.isascii() and "\u03a3" in text:
+                continue
             if text.isalpha():
-                return text.lower(), b""
-            if text[-1] in marks:
+                found[i] = lower
+            elif text[-1] in marks:
                 # lower case may end in a mark that joins what follows
-                stem = text[:-1].lower()
+                stem = lower[:-1]
                 if stem.isalpha() and text[:-1].isalpha():
-                    return stem, marks[text[-1]]
-        return text, b""
+                    found[i], tails[i] = stem, marks[text[-1]]
+        return found, tails
 
-    def learn(words: set[bytes]) -> None:
+    def learn(words: list[str]) -> None:
         fresh = known.missing(words)
-        split = [parts(w.decode()) for w in fresh]
-        new = stems.missing({stem for stem, _ in split})
-        plain = [w for w in new if w.isalpha()]
-        others = [w for w in new if not w.isalpha()]
+        if not fresh:
+            return
+        split, tails = parts(fresh)
+        new = stems.missing(set(split))
+        plain, others = [], []
+        for w in new:
+            (plain if w.isalpha() else others).append(w)
         for some, code in ((plain, vocabulary.letters), (others, vocabulary.together)):
             for i in range(0, len(some), TOGETHER):
                 stems.young.update(zip(some[i : i + TOGETHER], code(some[i : i + TOGETHER]), strict=True))
-        known.young.update(
-            (w, stems.young[stem] + tail) for w, (stem, tail) in zip(fresh, split, strict=True)
-        )
+        known.young.update(zip(fresh, map(add, map(stems.young.__getitem__, split), tails), strict=True))
 
     def ids(texts: list[bytes]) -> Iterator[bytes]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         at = 0
         while at < len(texts):
-            some, size = [], 0
-            while at < len(texts) and (not some or size + len(texts[at]) <= STEP_BYTES):
-                some.append(texts[at].split())
+            begun, size = at, 0
+            while at < len(texts) and (at == begun or size + len(texts[at]) <= STEP_BYTES):
                 size += len(texts[at])
                 at += 1
-            learn(set().union(*some))
-            for words in some:
-                yield b"".join(map(known.young.__getitem__, words))
+            # white space at an end of a text gives an empty word, which has no ids
+            split = pc.ascii_split_whitespace(pa.array(texts[begun:at], pa.string()))
+            words = split.flatten().dictionary_encode()
+            # all words as one string and cut again, which is faster than one by one
+            together = pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary)
+            distinct = pc.binary_join(together, "\n")[0].as_py().split("\n") if len(words.dictionary) else []
+            learn([w for w in distinct if w])
+            code = pa.array([known.young[w] if w else b"" for w in distinct], pa.large_binary())
+            data = code.take(words.indices)
+            cut = np.frombuffer(data.buffers()[1], np.int64)[split.offsets.to_numpy()].tolist()
+            whole = memoryview(data.buffers()[2] or b"")
+            for i, j in zip(cut, cut[1:]):
+                yield whole[i:j].tobytes()
 
     return ids
 
