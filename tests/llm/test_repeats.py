@@ -107,3 +107,18 @@ def test_windows_that_are_equal_have_equal_anchors():
         assert 0 <= anchor[0] < anchor[1] <= 35
         assert seen.setdefault(hashes[w : w + 35].tobytes(), (anchor, c >> 32)) == (anchor, c >> 32)
     assert len(seen) < len(windows)
+
+
+def test_windows_travel_with_96_bits():
+    asked = repeats.Asked(3)
+    asked.add(0, [b"a", b"b", b"c", b"a", b"b", b"c"], 0, 4, 1)
+    _, lo, h1, h2, _, repeated, speaks = asked.taken()
+    assert (h1.dtype, h2.dtype) == ("int64", "int32")
+    assert lo[repeated].tolist() == [0, 3] and lo[speaks].tolist() == [0, 1, 2]
+
+
+def test_names_alike_in_the_bits_that_are_counted_first(spark):
+    rows = [(repeats.REGION, n, 0, 1, name, n, n, 1, 0, 0) for n, name in enumerate([5, 5 + 2**40, 9, 9])]
+    got = repeats.compared(spark.createDataFrame(rows, repeats.FOUND)).collect()
+    # the two regions named 9 differ and are compared; the others only look alike and are not
+    assert sorted(r["text_no"] for r in got) == [2, 3]

@@ -363,14 +363,16 @@ def compared(found: DataFrame) -> DataFrame:
     summed before they are shuffled, and joined to rows, which can be split, by name.
     """
     rows = found.filter(F.col("kind") == REGION)
-    names = rows.groupBy("name").agg(F.sum("copies").alias("c")).filter("c > 1").select("name")
+    # 40 bits travel cheaper than 64; a name alike in them with another is sent on and found alone below
+    short = F.col("name").bitwiseAND(F.lit(2**40 - 1))
+    names = rows.groupBy(short.alias("short")).agg(F.sum("copies").alias("c")).filter("c > 1").select("short")
     at = ["text_no", "lo", "n"]
     same = ["name", "r1", "r2", "n"]
     # a region has at most as many windows as a window has words, so three numbers fit in one
     place = F.col("lo").cast("long") * (1 << 16) + F.col("n") * 2 + (F.col("copies") - 1)
     again = _written(
         rows.select("name", "r1", "r2", "text_no", place.alias("place"))
-        .join(names, "name", "left_semi")
+        .join(names, short == F.col("short"), "left_semi")
         .select(
             "name", "r1", "r2", "text_no",
             F.shiftright("place", 16).cast("int").alias("lo"),
@@ -451,6 +453,7 @@ class Asked:
         inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         at = starts[of] + inside
         h1, h2 = self.rolling.over(np.concatenate([p[3] for p in parts]))(at, at + self.width)
+        h2 = (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)
         copies = np.array([p[2] for p in parts])[of]
         order, group, heads = _grouped(h1, h2)
         total = np.bincount(group, weights=copies[order]).astype(np.int64)
@@ -460,7 +463,7 @@ class Asked:
         speaks[order[heads]] = True
         owner = np.array([p[0] for p in parts])[of]
         lo = np.array([p[1] for p in parts])[of] + inside
-        return owner, lo, _as_long(h1), _as_long(h2), np.minimum(many, 2), many > 1, speaks
+        return owner, lo, _as_long(h1), h2, np.minimum(many, 2), many > 1, speaks
 
 
 def drop_repeats(
@@ -479,7 +482,7 @@ def drop_repeats(
     ``docs`` gives one row, equal rows and null ids as well.  Other columns play no part.
     ``form`` is "text" for the texts that are left or "sha256" for their hash.
 
-    Regions and windows are compared by 128 bits.  Texts are cut into pieces, so a
+    Regions are compared by 96 bits beside the 64 of their context, windows by 96.  Texts are cut into pieces, so a
     worker's memory does not grow with the length of a text beyond its words.
     """
     rows = _rows(docs, id_col, text_col)
@@ -502,7 +505,7 @@ def drop_repeats(
     id_type = rows.schema["id"].dataType.simpleString()
     kept = "string" if form == "sha256" else "binary"
     result = f"id {id_type}, n_words long, n_removed long, kept {kept}"
-    extra = "kind int, text binary, text_no long, ranges binary, h1 long, h2 long, lo int, copies int"
+    extra = "kind int, text binary, text_no long, ranges binary, h1 long, h2 int, lo int, copies int"
 
     def met(batches: Iterator) -> Iterator:
         import numpy as np
