@@ -23,3 +23,16 @@ def test_ids_of_a_step_are_those_of_each_text_by_itself():
     want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
     got = [np.frombuffer(b, "<u4").tolist() for b in encoder(None)([t.encode() for t in texts])]
     assert got == want
+
+
+def test_a_worker_remembers_words_without_their_marks():
+    import sys
+
+    import public_tokenizers
+
+    encode = encoder(None)
+    list(encode([b"Wordling wordling. WORDLING, wordling"]))
+    kept = vars(sys.modules["_encoded_words"])
+    vocabulary = kept[public_tokenizers.path(VOCABULARY)]
+    met = [w for table in vars(vocabulary).values() if isinstance(table, Recent) for w in table.young if b"wordling" in (w.encode() if isinstance(w, str) else w).lower()]
+    assert met == ["wordling"]

@@ -26,7 +26,7 @@ GROUP = 32_768
 #: words of one generation of what a worker remembers; two generations are held
 REMEMBERED = 200_000
 #: bytes of text whose words are looked up together
-STEP_BYTES = 8_000_000
+STEP_BYTES = 4_000_000
 #: words encoded by one call
 TOGETHER = 4_000
 
@@ -59,7 +59,7 @@ class Vocabulary:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.stems, self.known = Recent(), Recent()
+        self.stems = Recent()
         self.apart = all(self.coded(f"Word{m}") == self.coded("word") + self.coded(m) for m in ".,")
         self.marks = {m: self.coded(m) for m in ".,"}
         vocabulary = self.tokenizer.get_vocab()
@@ -101,8 +101,8 @@ def encoder(path: str | None):
     The vocabulary drops white space and never joins across it, so every run
     between white space is encoded once per worker and remembered.  Where it also cuts
     between letters and a closing mark and ignores case, "Word," is put together
-    from "word" and ",", which leaves far fewer strings to encode.  New strings are
-    encoded many to a call, on lines of their own, and cut apart afterwards.
+    from "word" and ",", which leaves far fewer strings to encode and to remember.  New strings
+    are encoded many to a call, on lines of their own, and cut apart afterwards.
     """
     import numpy as np
 
@@ -113,14 +113,14 @@ def encoder(path: str | None):
     # a Python worker keeps what it has encoded, bounded by REMEMBERED, for its next task
     kept = sys.modules.setdefault("_encoded_words", types.ModuleType("_encoded_words")).__dict__
     vocabulary = kept.get(path) or kept.setdefault(path, Vocabulary(path))
-    apart, marks, stems, known = vocabulary.apart, vocabulary.marks, vocabulary.stems, vocabulary.known
+    apart, marks, stems = vocabulary.apart, vocabulary.marks, vocabulary.stems
 
-    def parts(fresh: list[str]) -> tuple[list[str], list[bytes]]:
+    def parts(words: list[str]) -> tuple[list[str], list[bytes]]:
         """The strings to encode, and what follows each; words are lower-cased together."""
-        found, tails = list(fresh), [b""] * len(fresh)
+        found, tails = list(words), [b""] * len(words)
         if not apart:
             return found, tails
-        for i, (text, lower) in enumerate(zip(fresh, "\n".join(fresh).lower().split("\n"), strict=True)):
+        for i, (text, lower) in enumerate(zip(words, "\n".join(words).lower().split("\n"), strict=True)):
             # a final sigma depends on its neighbours in Python and not in the vocabulary
             if not text.isascii() and "\u03a3" in text:
                 continue
@@ -133,19 +133,18 @@ def encoder(path: str | None):
                     found[i], tails[i] = stem, marks[text[-1]]
         return found, tails
 
-    def learn(words: list[str]) -> None:
-        fresh = known.missing(words)
-        if not fresh:
-            return
-        split, tails = parts(fresh)
-        new = stems.missing(set(split))
+    def coded(words: list[str]) -> Iterator[bytes]:
+        """The ids of distinct words."""
+        if not words:
+            return iter(())
+        split, tails = parts(words)
         plain, others = [], []
-        for w in new:
+        for w in stems.missing(set(split)):
             (plain if w.isalpha() else others).append(w)
         for some, code in ((plain, vocabulary.letters), (others, vocabulary.together)):
             for i in range(0, len(some), TOGETHER):
                 stems.young.update(zip(some[i : i + TOGETHER], code(some[i : i + TOGETHER]), strict=True))
-        known.young.update(zip(fresh, map(add, map(stems.young.__getitem__, split), tails), strict=True))
+        return map(add, map(stems.young.__getitem__, split), tails)
 
     def ids(texts: list[bytes]) -> Iterator[bytes]:
         import pyarrow as pa
@@ -157,14 +156,17 @@ def encoder(path: str | None):
             while at < len(texts) and (at == begun or size + len(texts[at]) <= STEP_BYTES):
                 size += len(texts[at])
                 at += 1
-            # white space at an end of a text gives an empty word, which has no ids
             split = pc.ascii_split_whitespace(pa.array(texts[begun:at], pa.string()))
             words = split.flatten().dictionary_encode()
             # all words as one string and cut again, which is faster than one by one
             together = pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary)
             distinct = pc.binary_join(together, "\n")[0].as_py().split("\n") if len(words.dictionary) else []
-            learn([w for w in distinct if w])
-            code = pa.array([known.young[w] if w else b"" for w in distinct], pa.large_binary())
+            # white space at an end of a text gives an empty word, which has no ids
+            empty = distinct.index("") if "" in distinct else None
+            code = list(coded([w for w in distinct if w]))
+            if empty is not None:
+                code.insert(empty, b"")
+            code = pa.array(code, pa.large_binary())
             data = code.take(words.indices)
             cut = np.frombuffer(data.buffers()[1], np.int64)[split.offsets.to_numpy()].tolist()
             whole = memoryview(data.buffers()[2] or b"")
@@ -242,6 +244,8 @@ def pieces(
                 arrays.append(pa.array(ids, pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
+        # the worker waits for its next task, maybe of another stage, without the memory of this one
+        pa.default_memory_pool().release_unused()
 
     source = texts(docs, id_col, text_col)
     more = ", ids binary" if with_ids else ""

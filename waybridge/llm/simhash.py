@@ -221,15 +221,20 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, prints: bool) -> DataF
         import pyarrow as pa
 
         for batch in batches:
-            lists = [t.translate(LOWER).split() for t in byte_texts(batch.column("text"))]
-            names = [_class_name(words) for words in lists]
+            names, sizes, fps = [], [], []
+            # one list of words at a time
+            for text in byte_texts(batch.column("text")):
+                words = text.translate(LOWER).split()
+                names.append(_class_name(words))
+                sizes.append(len(words))
+                fps.append(majority(shingles(words, 4, 42)) if prints else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in ("id", "t1", "t2")),
                     pa.array(names, pa.binary()),
                     pa.array([_short(n) for n in names], pa.int64()),
-                    pa.array([len(words) for words in lists], pa.int64()),
-                    pa.array([majority(shingles(words, 4, 42)) if prints else None for words in lists], pa.int64()),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(fps, pa.int64()),
                 ],
                 ["id", "t1", "t2", "class", "c", "words", "fp"],
             )
