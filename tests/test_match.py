@@ -114,3 +114,45 @@ def test_one_shipment_with_most_rows(spark):
     got = _run(spark, many)
     assert got["hot", "detention"]["invoice_value"] == str(4999 % 7) + ".00"
     assert got["cold", "detention"]["invoice_value"] == "3.00"
+
+
+def test_one_table_of_amounts_serves_both_treatments_of_duplicates(spark):
+    from decimal import Decimal
+
+    charges = spark.createDataFrame(
+        [
+            ("a", side, name, pos, Decimal(x))
+            for side, name, pos, x in [
+                ("invoice", "Lumper", 2, "5.00"), ("invoice", " lumper ", 3, "7.00"), ("invoice", "LUMPER FEE", 1, "1.00"),
+                ("rate_con", "lumper", 0, "8.00"), ("invoice", "fuel", 0, "3.00"), ("invoice", "Fuel Surcharge", 4, "9.00"),
+            ]
+        ],
+        CHARGES,
+    )
+    papers = (charges, spark.createDataFrame([("a", "bol", Decimal(10), None), ("b", "pod", None, Decimal(2))], QUANTITIES))
+    amounts = match.line_amounts(*papers)
+    for duplicates in ("last", "sum"):
+        own = match.match_shipments(*papers, duplicates=duplicates)
+        shared = match.match_shipments(*papers, duplicates=duplicates, amounts=amounts)
+        assert sorted(map(str, own.collect())) == sorted(map(str, shared.collect()))
+        # 7 (last of "lumper") + 1, or all of them; of the fuel charges the explicit one
+        got = {(r.shipment_id, r.line_item): r for r in own.collect()}
+        assert got["a", "lumper"].invoice_value == {"last": "8.00", "sum": "13.00"}[duplicates]
+        assert got["a", "fuel_surcharge"].invoice_value == "9.00" and got["b", "pieces"].pod_value == "2"
+
+
+def test_accuracy_groups_lines_without_sorting_texts(spark):
+    import pytest
+
+    from waybridge import vocab
+    from waybridge.operators.evaluate import match_accuracy
+
+    kind = "shipment_id string, line_item string, discrepancy_flag string"
+    results = spark.createDataFrame([("a", "x", "none"), ("a", "y", "rate_delta"), ("b", None, "none"), (None, "z", None)], kind)
+    truth = spark.createDataFrame([("a", "x", "none"), ("a", "y", "none"), ("b", None, "none"), ("c", "z", "none")], kind)
+    plain, numbered = match_accuracy(results, truth), match_accuracy(results, truth, list(vocab.FLAG_LABELS))
+    assert plain.collect() == numbered.collect() and numbered.first()["correct"] == 2
+    assert "SortAggregate" not in numbered._sc._jvm.PythonSQLUtils.explainString(numbered._jdf.queryExecution(), "simple")
+    odd = results.unionByName(spark.createDataFrame([("d", "x", "odd")], kind))
+    with pytest.raises(Exception, match="unknown flag odd"):
+        match_accuracy(odd, truth, list(vocab.FLAG_LABELS)).collect()

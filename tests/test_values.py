@@ -88,3 +88,23 @@ def test_readings(each):
     text = each(lambda c: v.quantity_text(v.quantity_of(c)), ["12", "12.50", "1,200", "-1"])
     assert text == ["12", "12.5", "1200", "-1"]
     assert each(v.iso_date, ["2026-01-02", "2026-1-2", "2026-02-30"]) == [date(2026, 1, 2), None, None]
+
+
+def test_texts_without_an_amount_are_not_cast(each):
+    """A cast of an empty text throws inside Spark, which costs more than reading an amount."""
+    shown = str(v.normalize_amount(F.col("x")))
+    assert "regexp_replace" not in shown and "CASE WHEN !(=(" in shown
+    texts = ["n/a", "", "($ 5.00)", "- 7", "$ 3 ", "(-5)", "€1,2", "5)", "é", None]
+    got = each(v.normalize_amount, texts)
+    assert [None if g is None else float(g) for g in got] == [None, None, -5.0, -7.0, 3.0, 5.0, 12.0, None, None, None]
+
+
+def test_days_weights_and_names_in_any_case_and_between_odd_spaces(each):
+    days = [" March 5, 2024\n", "mAr 5 2024", "Mars 5, 2024", "13/02/2024", "2024-13-45", "may 1, 2023", "é 1, 2023", ""]
+    got = each(v.normalize_date, days)
+    assert [None if g is None else str(g) for g in got] == [
+        "2024-03-05", "2024-03-05", None, "2024-02-13", None, "2023-05-01", None, None,
+    ]
+    weights = each(v.normalize_weight, ["10 LBS", "10 lbs", "1,000", ",5", ".5", "x", "-3", None])
+    assert [None if w is None else float(w) for w in weights] == [10.0, 10.0, 1000.0, 5.0, None, None, None, None]
+    assert each(v.charge_type, [" LUMPER ", "", None, "zzz"]) == ["lumper", "other", "other", "other"]
