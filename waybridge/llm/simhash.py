@@ -132,6 +132,9 @@ def covering_links(
     is linked and nothing else.  A bucket above ``block`` values is cut by a hash
     into parts, and every two parts meet in a cell of their own, so no task holds a whole bucket
     and no pair is left out.
+
+    Spark sizes exploded rows like the rows they come from, 31 times too low, so the join
+    sorts both sides and none of them is copied to the driver.
     """
     parts = [*extra, "t", "key"]
     keyed = fps.select(
@@ -143,7 +146,7 @@ def covering_links(
     )
     shared = keyed.groupBy(*parts).agg(F.count("*").alias("m")).filter(F.col("m") > 1)
     cells = (
-        keyed.join(shared, parts)
+        keyed.join(shared.hint("merge"), parts)
         .withColumn("nb", F.ceil(F.col("m") / block).cast("int"))
         .withColumn("i", F.pmod(F.xxhash64("fp", "t"), F.col("nb")).cast("int"))
         .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
@@ -324,6 +327,7 @@ def _prefix_links(holders: DataFrame, threshold: float) -> DataFrame:
     each set, and one more, are its prefix, then two sets at the threshold share a shingle
     of both prefixes, without exception.  A shingle of one text alone comes first and joins
     nothing, so only shared ones travel; a text with too few of them has no partner at all.
+    Shingles outnumber the rows by which Spark sizes them, so the joins sort both sides.
     """
     # plain numbers keep the rows of both shuffles short and let the counts be hashed
     holders = holders.select("c", "all", F.explode("sh").alias("sh"))
@@ -335,7 +339,7 @@ def _prefix_links(holders: DataFrame, threshold: float) -> DataFrame:
     )
     room = F.col("all") - F.ceil(F.col("all") * threshold - 1e-9) + 1
     prefix = (
-        holders.join(shared, "sh")
+        holders.join(shared.hint("merge"), "sh")
         .groupBy("c", "all")
         .agg(F.array_sort(F.collect_set(F.struct("df", "sh"))).alias("own"))
         .withColumn("left", (room - (F.col("all") - F.size("own"))).cast("int"))
@@ -344,7 +348,7 @@ def _prefix_links(holders: DataFrame, threshold: float) -> DataFrame:
     )
     prefix = materialized(prefix, "prefixes")
     least = materialized(prefix.groupBy("sh").agg(F.min("c").alias("b")), "least")
-    return prefix.join(least, "sh").filter("b < c").select(F.col("c").alias("a"), "b").distinct()
+    return prefix.join(least.hint("merge"), "sh").filter("b < c").select(F.col("c").alias("a"), "b").distinct()
 
 
 def _print_links(kinds: DataFrame, radius: int) -> DataFrame:
